@@ -7,10 +7,11 @@ and its decision takes effect; all but the last return the columns of ``document
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from grainmill import scratch
-from grainmill.llm import quality_rules, simhash
+from grainmill.llm import langid, mixing, packing, quality_rules, simhash
+from grainmill.llm.queries import tokenizer_path
+from grainmill.session import reach_workers
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +19,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.Cascade.fit(docs).apply(docs)
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are in some language."""
+    reach_workers(spark)
+    return langid.keep_known(docs, langid.train(docs))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    reach_workers(spark)
     return simhash.deduplicate(docs).select(*docs.columns)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix, a row for each epoch in which one is taken."""
+    return mixing.apply(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and its place there."""
+    reach_workers(spark)
+    return packing.pack(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json"), 0))
+
+
 STAGES = [
     ("quality rules", quality_stage),
-    ("simhash near-dedup", dedup_stage),
+    ("language ID", language_stage),
+    ("SimHash near-dedup", dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 #: The stages' models and fingerprints have no SQL form; tests hold them against brute force.
