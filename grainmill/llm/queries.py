@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import langid, mixing, packing, quality_rules, simhash, token_store, warc
+from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, simhash, token_store, url_filter, warc
 from grainmill.session import reach_workers
 
 
@@ -23,6 +23,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
@@ -36,6 +40,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(docs, quality_rules.Cascade.fit(docs))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: one for good quality, one more for text that is not toxic."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    model = quality_classifier.train(docs, ratings, 3)
+    return quality_classifier.select(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -56,9 +72,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
