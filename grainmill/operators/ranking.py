@@ -57,3 +57,36 @@ def running_total_by_hash(df: DataFrame, part: str, hash_col: str, tie: str, val
     within = Window.partitionBy(part, *names).orderBy(hash_col, tie).rowsBetween(*_BEFORE)
     kept = kept.withColumn("_w", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return kept.select(*df.columns, (total + F.col("_w")).alias(out))
+
+
+def _value_counts(df: DataFrame, col: str) -> DataFrame:
+    """``value``, its ``n`` rows, and ``before``: rows with a smaller value. Nulls are left out."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    return running_total(counts, ["value"], {"before": F.col("n")}, "values")
+
+
+def cume_dist(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Add for each ``{column: name}`` the share of rows with the same or a smaller value.
+
+    As the window function without a partition, but no task sees more than a range of the distinct values;
+    the values come back by an equality join. Null stays null.
+    """
+    out = df
+    for col, name in cols.items():
+        counts = scratch.materialize(_value_counts(df, col), "cume-dist")
+        total = counts.agg(F.sum("n")).first()[0] or 1
+        shares = counts.select(F.col("value").alias("_value"), ((F.col("before") + F.col("n")) / F.lit(total)).alias(name))
+        out = out.join(shares, F.col(col) == F.col("_value"), "left").drop("_value")
+    return out
+
+
+def floor_quantiles(df: DataFrame, col: str, quantiles: Sequence[float]) -> dict[float, float | None]:
+    """The element at place floor(q * (n - 1)) in ascending order, without interpolation; None without rows."""
+    counts = scratch.materialize(_value_counts(df, col), "quantiles")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    places = {q: int(q * (total - 1)) for q in quantiles}
+    if not total:
+        return dict.fromkeys(quantiles)
+    hit = [F.max(F.when((F.col("before") <= p) & (F.col("before") + F.col("n") > p), F.col("value"))).alias(f"q{k}") for k, p in enumerate(places.values())]
+    row = counts.agg(*hit).first()
+    return {q: row[k] for k, q in enumerate(places)}
