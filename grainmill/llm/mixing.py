@@ -153,13 +153,13 @@ def apply(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **opt
 
     A document that its source's last slot cuts short keeps the words taken, joined by single spaces.
     """
-    keyed = docs.withColumn("_copy", F.monotonically_increasing_id())
-    keyed = scratch.materialize(keyed, "mix-input")
-    found = mix(keyed, text_col=text_col, carry=("_copy",), shuffle_by=(id_col,), **options)
-    spans = found.takes.groupBy("row_id", "epoch").agg(F.min("start").alias("_start"), F.sum("length").alias("_length"))
-    spans = spans.join(found.documents.select("row_id", "_copy", "size"), "row_id").select("_copy", "_start", "_length", "size")
-    out = keyed.join(spans, "_copy")
-    cut = F.when(F.col("_length") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words(F.col(text_col)), (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " "))
+    keyed = scratch.materialize(docs.withColumn("__copy", F.monotonically_increasing_id()), "mix-input")
+    found = mix(keyed, text_col=text_col, carry=("__copy",), shuffle_by=(id_col,), **options)
+    spans = found.takes.groupBy("row_id", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    spans = spans.join(found.documents.select("row_id", "__copy", "size"), "row_id").select("__copy", F.struct("start", "length", "size").alias("__span"))
+    out, span = keyed.join(spans, "__copy"), F.col("__span")
+    part = F.array_join(F.slice(words(F.col(text_col)), (span["start"] + 1).cast("int"), span["length"].cast("int")), " ")
+    cut = F.when(span["length"] == span["size"], F.col(text_col)).otherwise(part)
     columns = [cut.alias(c) if c == text_col else F.length(cut).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
 

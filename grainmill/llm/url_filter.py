@@ -78,11 +78,12 @@ def templates(counts: DataFrame, most_children: int = 32, most_levels: int = 8,
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", purity: float = 0.9, weight: float = 10.0, **tree: float) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``."""
-    rows = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_ruled": verdict, "_shape": shape_of(F.col("path"))})
-    counts = rows.groupBy("host", F.col("_shape").alias("shape")).agg(
+    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, which replace columns of these names."""
+    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+    rows = pages.withColumns({"_host": host, "_path": path})
+    rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
+    rows = rows.withColumns({"_rule": rule, "_ruled": verdict, "_shape": shape_of(F.col("_path"))})
+    counts = rows.groupBy(F.col("_host").alias("host"), F.col("_shape").alias("shape")).agg(
         F.count("*").alias("n"), F.count("_ruled").alias("labelled"), F.sum(F.when(F.col("_ruled") == "block", 1).otherwise(0)).alias("blocked")
     )
     tree_rows = templates(counts, **tree)
@@ -90,9 +91,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: s
     prior = whole["b"] / whole["l"] if whole["l"] else 0.0
     smoothed = (F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)
     bad = tree_rows.groupBy("host", "template").agg(smoothed.alias("share")).where(F.col("share") >= purity).select("host", "template")
-    bad_shapes = tree_rows.join(bad, ["host", "template"]).select("host", F.col("shape").alias("_shape"), F.lit(True).alias("_bad"))
+    bad_shapes = tree_rows.join(bad, ["host", "template"]).select(F.col("host").alias("_asked"), F.col("shape").alias("_shape"), F.lit(True).alias("_bad"))
     # Only pages without a rule ask for their template's verdict; the rest pass by the join.
-    asked = F.when(F.col("_ruled").isNull(), F.col("host"))
-    out = rows.withColumn("_host", asked).join(bad_shapes.withColumnRenamed("host", "_host"), ["_host", "_shape"], "left")
+    asked = F.when(F.col("_ruled").isNull(), F.col("_host"))
+    out = rows.withColumn("_asked", asked).join(bad_shapes, ["_asked", "_shape"], "left")
     final = F.coalesce(F.col("_ruled"), F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*pages.columns, "host", "path", "rule", final.alias("verdict"))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), final.alias("verdict"))
