@@ -68,10 +68,11 @@ def repeated_words(word_array: Column) -> Column:
 
     def covered(w: Column, b: Column) -> Column:
         mask = lambda x: x.bitwiseAND(shift(F.lit(1).cast("long"), b) - 1).cast("int")
-        packed = F.array_sort(
+        # sort_array sorts primitives where array_sort would call a comparator; coalesce says that none is null.
+        packed = F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: shift(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b).bitwiseOR(i.cast("long")),
+                lambda i: F.coalesce(shift(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b).bitwiseOR(i.cast("long")), F.lit(0).cast("long")),
             )
         )
 
@@ -90,7 +91,7 @@ def repeated_words(word_array: Column) -> Column:
                 | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)),
             ),
         )
-        places = F.array_sort(F.transform(found, mask))
+        places = F.sort_array(F.transform(found, lambda x: F.coalesce(mask(x), F.lit(0))))
         return let(
             places,
             lambda p: F.aggregate(
@@ -195,6 +196,10 @@ class Cascade:
             out.append(Measured(rule, (time.perf_counter() - began) / rows, rejected / rows))
         return cls(out)
 
+    def without(self, *names: str) -> Cascade:
+        """The cascade less the rules named, for rows that are known to pass them."""
+        return Cascade([m for m in self.measured if m.rule.name not in names])
+
     def verdict(self, text: Column) -> Column:
         """True for rows that every rule keeps."""
         out = F.lit(True)
@@ -215,8 +220,11 @@ class Cascade:
 
 
 def digest(docs: DataFrame, cascade: Cascade) -> DataFrame:
-    """One row a document: the base measures, whether the base rules fail it, and the cascade's verdict."""
-    w = words(F.col("text"))
+    """One row a document: the base measures, whether the base rules fail it, and the cascade's verdict.
+
+    The base measures are wanted for every document, so the cascade leaves out the two rules that they decide.
+    """
+    w, rest = words(F.col("text")), cascade.without("min_words", "max_repeated_share")
     measures = let(
         w,
         lambda x: F.struct(F.size(x).cast("long").alias("n_words"), repeated_words(x).alias("n_repeat_words")),
@@ -238,6 +246,6 @@ def digest(docs: DataFrame, cascade: Cascade) -> DataFrame:
         "n_dup_lines",
         F.col("m.n_repeat_words").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(cascade.verdict(F.col("text"))).alias("kept"),
+        F.when(failed, F.lit(False)).otherwise(rest.verdict(F.col("text"))).alias("kept"),
     )
     return out

@@ -201,7 +201,9 @@ def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Rounds of smallest-label propagation with pointer jumping, each written to the shared folder. Every
     join has the labels, unique by node, on one side, so a hub only makes a skewed join that Spark splits.
     """
-    both = scratch.materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    # One pass over the edges gives both directions; a union would compute them twice.
+    both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    both = scratch.materialize(both.select("e.a", "e.b").distinct(), "edges")
     labels = scratch.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))

@@ -7,12 +7,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows that Python functions get at once.
+ROWS_PER_BATCH = 1000
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_PER_BATCH),
 }
 
 
@@ -27,9 +30,15 @@ def build(app: str = "grainmill", master: str | None = None, **conf: str) -> Spa
 
 
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers on machines that share this checkout import the package; elsewhere, install it there."""
+    """Let Python workers on machines that share this checkout import the package, and bound their batches.
+
+    Elsewhere, install the package on the workers.
+    """
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [*paths, root] if p)
+    # Rows of whole texts: a batch of the default ten thousand could be gigabytes.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
