@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from grainmill import scratch
-from grainmill.llm import langid, mixing, packing, quality_rules, simhash
+from grainmill.llm import langid, mixing, packing, quality_rules, simhash_similar
 from grainmill.llm.queries import tokenizer_path
 from grainmill.session import reach_workers
 
@@ -26,9 +26,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: four fifths of their five-word shingles in common."""
     reach_workers(spark)
-    return simhash.deduplicate(docs).select(*docs.columns)
+    return simhash_similar.deduplicate(docs).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ becomes a component id unless the whole component has no other. An empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil, log2
 
@@ -102,11 +102,12 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def trie_classes(values: np.ndarray, prefix_bits: int, left: int, right: int, budget: int) -> np.ndarray:
-    """Label of each of the sorted distinct ``values`` after walking subtree ``left`` against ``right``.
+def trie_classes(values: np.ndarray, prefix_bits: int, left: int, right: int, budget: int, bits: int = 64, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Label of each of the sorted ``values`` after walking subtree ``left`` against ``right``.
 
     The two subtrees are the values whose first ``prefix_bits`` bits are those numbers. A node is a
-    contiguous range of the sorted values, so the trie needs no other storage.
+    contiguous range of the sorted values, so the trie needs no other storage. Only the first ``bits`` bits
+    count; ``near`` says of places of values within the budget whether they link, as all do without it.
     """
     labels = np.arange(len(values))
     root = lambda p: np.searchsorted(values, np.array([p << (64 - prefix_bits)], np.uint64))[0] if p < 1 << prefix_bits else len(values)
@@ -123,9 +124,9 @@ def trie_classes(values: np.ndarray, prefix_bits: int, left: int, right: int, bu
             stack += [(depth, nodes[:half]), (depth, nodes[half:])]
             continue
         a, b, c, d, apart = nodes.T
-        small = ((b - a) * (d - c) <= LEAF) | (depth >= 64)
+        small = ((b - a) * (d - c) <= LEAF) | (depth >= bits)
         if small.any():
-            _compare(values, labels, a[small], b[small], c[small], d[small], budget)
+            _compare(values, labels, a[small], b[small], c[small], d[small], budget, near)
         nodes = nodes[~small]
         if not len(nodes):
             continue
@@ -151,21 +152,31 @@ def trie_classes(values: np.ndarray, prefix_bits: int, left: int, right: int, bu
     return labels
 
 
-def _compare(values: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, budget: int) -> None:
+def _compare(values: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, budget: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
     """Link what lies within the budget between the ranges [a, b) and [c, d), in bounded blocks."""
+    most = 4 * PAIRS_AT_ONCE
+    rows = np.maximum(1, most // (d - c))  # of [a, b) in one block
+    parts = -(-(b - a) // rows)
+    of = np.repeat(np.arange(len(a)), parts)
+    a = a[of] + rows[of] * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    b, c, d = np.minimum(b[of], a + rows[of]), c[of], d[of]
     sizes = (b - a) * (d - c)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + 4 * PAIRS_AT_ONCE, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         n = sizes[at:to]
         which = np.repeat(np.arange(at, to), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = (d - c)[which]
         i, j = a[which] + k // width, c[which] + k % width
-        near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i != j)
-        _merge(labels, i[near], j[near])
+        within = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i != j)
+        i, j = i[within], j[within]
+        if near is not None:
+            linked = near(i, j)
+            i, j = i[linked], j[linked]
+        _merge(labels, i, j)
         at = to
 
 
@@ -220,7 +231,11 @@ def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id``: the smallest id that links reach from the row."""
-    fps = scratch.materialize(fingerprints(docs, id_col, text_col, width), "simhash")
+    return grouped(scratch.materialize(fingerprints(docs, id_col, text_col, width), "simhash"), id_col, budget)
+
+
+def grouped(fps: DataFrame, id_col: str = "doc_id", budget: int = 3) -> DataFrame:
+    """Components as above of a written table of ``id_col`` and ``fp``."""
     own = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
     labels = connected(links(fps, budget))
     classes = own.join(labels, own["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))

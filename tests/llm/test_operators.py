@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, queries, simhash, token_store, tokens, url_filter, warc
+from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, queries, simhash, simhash_similar, token_store, tokens, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -386,6 +386,70 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert simhash.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def changed(rnd: random.Random, text: str, n: int) -> str:
+    """The text with ``n`` words replaced."""
+    words = text.split()
+    for k in rnd.sample(range(len(words)), n):
+        words[k] = f"new{rnd.random()}"
+    return " ".join(words)
+
+
+def shingles(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_texts(spark, empty):
+    """Copies and near copies leave one document each; what shares less stays, as does what has no id."""
+    rnd = random.Random(12)
+    texts, group = [], []
+    for g in range(60):
+        base = sentence(rnd, 300, 50_000)
+        family = [base, base, base.upper(), *(changed(rnd, base, 1 + k % 4) for k in range(4))]
+        texts += family
+        group += [g] * len(family)
+        if g % 2:  # about half of the shingles in common
+            texts.append(changed(rnd, base, 20))
+            group.append(1000 + g)
+    texts += [sentence(rnd, n, 50_000) for n in range(1, 40)] + [None, "", " "]
+    group += [*range(2000, 2039), 3000, 3000, 3000]
+    rows = [(i, t, None, None, 1) for i, t in enumerate(texts)] + [(None, texts[0], None, None, 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(7) for n in ("fp", "sketch", "node", "first", "label", "a", "b", "value", "component_id")})
+    kept = simhash_similar.deduplicate(docs)
+    assert set(kept.columns) == set(docs.columns)
+    ids = [r["doc_id"] for r in kept.collect()]
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    kept_ids = {i for i in ids if i is not None}
+    assert len(ids) == len(kept_ids) + 1 and kept_ids >= set(first.values())
+    assert len(kept_ids - set(first.values())) <= 0.02 * (len(texts) - len(first))  # the bands' recall
+    assert simhash_similar.deduplicate(empty).count() == 0
+
+
+def test_similar_pairs_are_exact(spark):
+    rnd = random.Random(13)
+    base = [sentence(rnd, 120, 5000) for _ in range(40)]
+    texts = base + [changed(rnd, b, n) for b in base for n in (1, 2, 3, 4, 6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    every = df.select(F.col("node").alias("a")).join(df.select(F.col("node").alias("b")), F.col("b") - F.col("a") == 40)
+    got = {tuple(r) for r in simhash_similar.similar(every, df).collect()}
+    sets = [shingles(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert got == {(i, i + 40) for i in range(len(texts) - 40) if alike(i, i + 40)}
+    nodes = simhash_similar.sketches(df, "node").select("node", "sketch")
+    found = {tuple(r) for r in simhash_similar.candidates(nodes).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(i, j)}
+    assert len(want & found) >= 0.9 * len(want)
+
+
+def test_band_plan_grows_slowly():
+    assert simhash_similar.share_apart(1.0) == 0 and 0.15 < simhash_similar.share_apart(0.8) < 0.16
+    few, many = simhash_similar.band_plan(1000, 0.8, 0.9), simhash_similar.band_plan(10**9, 0.8, 0.9)
+    assert few.shape[1] == 16 and many.shape[1] == 36 and len(few) < len(many) < 150
+    assert all(len(set(b)) == len(b) for b in many.tolist())
+
+
 # 8. Packing.
 
 
