@@ -46,20 +46,26 @@ def assertive(section: Column, patterns: Sequence[str] = L.ASSERTIVE_PATTERNS) -
 
 def line_facts(section: Column, reference: Column) -> Column:
     """What the rules of one line ask for, once: struct of u, c, k, d, a, j, cov, terms, s, r."""
-    covered = sum_of([(reference.contains(t) & section.contains(t)).cast("int") for t in L.EVIDENCE_TERMS])
-    terms = sum_of([reference.contains(t).cast("int") for t in L.EVIDENCE_TERMS])
-    return F.struct(
-        contains_any(reference, L.UNCERTAIN_TERMS).alias("u"),
-        contains_any(section, L.CAUTIOUS_TERMS).alias("c"),
-        contains_any(section, L.RETAKE_TERMS).alias("k"),
-        unsupported(section, reference).cast("double").alias("d"),
-        assertive(section).cast("double").alias("a"),
-        jaccard(section, reference).alias("j"),
-        covered.cast("double").alias("cov"),
-        terms.cast("double").alias("terms"),
-        (section != "").alias("s"),
-        (reference != "").alias("r"),
-    )
+
+    def found(x: Column) -> Column:
+        section, reference = x["section"], x["reference"]
+        covered = sum_of([(reference.contains(t) & section.contains(t)).cast("int") for t in L.EVIDENCE_TERMS])
+        terms = sum_of([reference.contains(t).cast("int") for t in L.EVIDENCE_TERMS])
+        return F.struct(
+            contains_any(reference, L.UNCERTAIN_TERMS).alias("u"),
+            contains_any(section, L.CAUTIOUS_TERMS).alias("c"),
+            contains_any(section, L.RETAKE_TERMS).alias("k"),
+            unsupported(section, reference).cast("double").alias("d"),
+            assertive(section).cast("double").alias("a"),
+            jaccard(section, reference).alias("j"),
+            covered.cast("double").alias("cov"),
+            terms.cast("double").alias("terms"),
+            (section != "").alias("s"),
+            (reference != "").alias("r"),
+        )
+
+    # Both texts are long expressions that the rules name a hundred times.
+    return let(F.struct(section.alias("section"), reference.alias("reference")), found)
 
 
 def facts(completion: Column, parsed: Column) -> Column:
@@ -133,6 +139,11 @@ def gate_matrix(expected: Column, predicted: Column, table: dict[str, Sequence[f
     return out
 
 
+def _over(completion: Column, parsed: Column, lines: Column | None, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the facts: those in the column ``lines`` if it is given, as for several rewards at once."""
+    return body(lines) if lines is not None else let(facts(completion, parsed), body)
+
+
 # Rewards of reports.
 
 
@@ -148,31 +159,31 @@ def section_structure(completion: Column, groups: Sequence[Sequence[str]] = L.SE
     return 0.45 * ordered_score(completion, groups) + 0.25 * mention_score(completion, names) + 0.30 * presence_score(sections(completion, keywords), names)
 
 
-def report_alignment(completion: Column, parsed: Column) -> Column:
+def report_alignment(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
     names = list(L.LINE_KEYWORDS)
     shape = 0.4 * ordered_score(completion, L.SECTIONS) + 0.3 * mention_score(completion, names) + 0.3 * presence_score(sections(completion, L.LINE_KEYWORDS), names)
-    lines = let(facts(completion, parsed), lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
-    return 0.45 * jaccard(completion, jsonx.reference_text(parsed)) + 0.35 * lines + 0.20 * shape
+    covered = _over(completion, parsed, lines, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
+    return 0.45 * jaccard(completion, jsonx.reference_text(parsed)) + 0.35 * covered + 0.20 * shape
 
 
-def evidence_coverage(completion: Column, parsed: Column) -> Column:
-    return let(facts(completion, parsed), lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
+def evidence_coverage(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+    return _over(completion, parsed, lines, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
 
 
-def line_consistency(completion: Column, parsed: Column) -> Column:
+def line_consistency(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
     one = lambda x: F.when(~x["s"], 0.0).when(x["u"], x["c"].cast("double")).otherwise(_least(1.0, 0.2 + 0.8 * x["j"]))
-    return let(facts(completion, parsed), lambda f: _mean(f, one, lambda x: x["r"], 0.0))
+    return _over(completion, parsed, lines, lambda f: _mean(f, one, lambda x: x["r"], 0.0))
 
 
-def hallucination_penalty(completion: Column, parsed: Column) -> Column:
+def hallucination_penalty(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
     def penalty(f: Column) -> Column:
         both = F.when((f["d"] > 0) & (f["a"] > 0), _least(0.6, 0.2 * f["a"])).when(f["u"], _least(0.5, 0.15 * f["a"])).otherwise(0.0)
         return (f["u"] & ~f["c"]).cast("double") + _least(1.0, 0.35 * f["d"]) + both
 
-    return let(facts(completion, parsed), lambda f: _penalised(f, penalty))
+    return _over(completion, parsed, lines, lambda f: _penalised(f, penalty))
 
 
-def caution_balance(completion: Column, parsed: Column) -> Column:
+def caution_balance(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
     mentions, predicted = term_hits(completion, L.CAUTIOUS_TERMS), predicted_gate(completion)
 
     def balance(f: Column) -> Column:
@@ -184,15 +195,15 @@ def caution_balance(completion: Column, parsed: Column) -> Column:
         again = F.when(predicted == "continue", 0.60).when(predicted == "cautious", 0.15).otherwise(0.0)
         return clamp(1 - F.when(expected == "continue", certain).when(expected == "cautious", careful).otherwise(again))
 
-    return let(facts(completion, parsed), balance)
+    return _over(completion, parsed, lines, balance)
 
 
-def gate_decision(completion: Column, parsed: Column) -> Column:
-    return gate_matrix(let(facts(completion, parsed), expected_gate), predicted_gate(completion))
+def gate_decision(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+    return gate_matrix(_over(completion, parsed, lines, expected_gate), predicted_gate(completion))
 
 
-def uncertainty_honesty(completion: Column, parsed: Column) -> Column:
-    doubt = _least(1.0, term_hits(jsonx.reference_text(parsed), L.UNCERTAIN_TERMS) / 6.0)
+def uncertainty_honesty(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+    doubt = let(jsonx.reference_text(parsed), lambda t: _least(1.0, term_hits(t, L.UNCERTAIN_TERMS) / 6.0))
     mentioned, predicted = contains_any(completion, L.CAUTIOUS_TERMS), predicted_gate(completion)
     none = F.when(doubt >= 0.5, mentioned.cast("double")).when(mentioned, 0.4).otherwise(0.7)
 
@@ -206,15 +217,15 @@ def uncertainty_honesty(completion: Column, parsed: Column) -> Column:
         )
         return _least(1.0, _mean(f, honesty, lambda x: x["r"], none) + bonus)
 
-    return let(facts(completion, parsed), score)
+    return _over(completion, parsed, lines, score)
 
 
-def contradiction_penalty(completion: Column, parsed: Column) -> Column:
+def contradiction_penalty(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
     def penalty(f: Column) -> Column:
         bold = (f["a"] > 0) | (f["d"] > 0)
         return (f["c"] & bold).cast("double") + F.when(f["u"] & bold, _least(1.0, 0.5 + 0.2 * f["d"] + 0.2 * f["a"])).otherwise(0.0)
 
-    return let(facts(completion, parsed), lambda f: _penalised(f, penalty))
+    return _over(completion, parsed, lines, lambda f: _penalised(f, penalty))
 
 
 def safety(text: Column, safe: Sequence[str] = L.REPORT_SAFE, banned: Sequence[str] = L.REPORT_BANNED) -> Column:

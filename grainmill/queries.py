@@ -501,6 +501,28 @@ def payload_canonical(spark, sf):
     return _payloads(spark, sf).select("doc_id", jsonx.canonical(jsonx.parse(F.col("raw"))).alias("canonical"))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, trim(substr(text, 1, 40), ' ' || chr(10) || chr(9) || chr(13) || chr(160)) = '' AS hollow FROM documents)
+    SELECT doc_id, 0.0::DOUBLE AS json_schema_reward, round(CASE WHEN hollow THEN 0 ELSE 24 / 28::DOUBLE END, 9)::DOUBLE AS line_field_coverage_reward,
+           (CASE WHEN hollow THEN 0 ELSE 1 END)::DOUBLE AS report_field_coverage_reward FROM d"""
+)
+def structured_rewards(spark, sf):
+    """Every line of the payloads lacks one of its seven fields."""
+    names = ["json_schema_reward", "line_field_coverage_reward", "report_field_coverage_reward"]
+    rows = _payloads(spark, sf).select("doc_id", jsonx.parse(F.col("raw")).alias("p"))
+    found = rows.select("doc_id", *rewards.STRUCTURED_REWARDS.columns(names, parsed=F.col("p")))
+    return found.select("doc_id", *[F.round(n, 9).alias(n) for n in names])
+
+
+@query()
+def report_rewards(spark, sf):
+    """All rewards of reports, each document against the payload built around it."""
+    rows = _payloads(spark, sf).join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.select("doc_id", "text", jsonx.parse(F.col("raw")).alias("p"))
+    rows = rows.withColumn("lines", rewards.facts(F.col("text"), F.col("p")))
+    return rows.select("doc_id", *rewards.REPORT_REWARDS.columns(completion=F.col("text"), parsed=F.col("p"), lines=F.col("lines")))
+
+
 _JUDGED = """j AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'reject' WHEN l_returnflag = 'A' THEN 'accept_cautious' ELSE 'accept' END AS decision,
     l_quantity / 10 AS vg, l_discount * 50 AS uh, l_tax * 60 AS lc, 4.0::DOUBLE AS sq FROM lineitem)"""
 
