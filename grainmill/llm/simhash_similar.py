@@ -5,15 +5,19 @@ differ in about ten bits. Here a text has a sketch of ``64 * WORDS`` bits, the m
 shingles. The share of bits in which two sketches differ is the angle between the shingle sets over pi, so
 a similarity gives the number of bits allowed.
 
-Two passes of the trie self-join find the groups. The first takes the sketch's first 64 bits as a fingerprint, with the usual
-budget, and joins what is nearly equal. A large group of near copies falls together there: of texts that are each just at the
-similarity about one pair in a hundred is within the budget, so hundreds of them are connected and only some
-tens of a group are left alone, however large it is. One document of each class goes on. The second pass walks a trie over each of
-several bands of bits with a budget of its own and holds whole sketches against each other where the band is
-within it. The bits of a band grow with the logarithm of the number of documents, and the number of bands so that a pair just at
-the similarity meets in one of them with probability ``recall``; more similar pairs do so more surely.
-Pairs of representatives whose sketches are near enough, two and a half standard deviations above what the similarity
-makes expect, are held against each other exactly, by their shingles.
+Only texts with the same shingle set are collapsed beforehand; all others take part. A trie is walked over each of
+several bands of bits with a budget of its own, and whole sketches are held against each other where the band is
+within it. The bits of a band grow with the logarithm of the number of texts, and the number of bands so that a pair just at
+the similarity meets in one of them with probability ``recall``; more similar pairs do so more surely. Pairs whose sketches are
+near enough, two and a half standard deviations above what the similarity makes expect, are candidates. Every link is held
+exactly, by the shingles of both texts; the bands and that cut decide only what is looked at, so a pair may be missed but
+none is joined wrongly. Groups are what links connect.
+
+A group of n near copies has about n * n candidates, so they come in rounds. In the first each text names a few of its candidates in
+each band, the nearest and some at random, and texts that have more are open. Later rounds take open texts alone, and only their
+candidates of another class as far as links have joined them by then; the last takes all of those. What is left
+out at the end lies within one class, so the classes are those that all candidates would give. Only a
+large group of texts that are near by sketch but not by shingles costs its square, as each of its pairs must be looked at.
 
 Texts that are null or blank have the sketch zero and form one group. Repeated rows share a sketch. Rows that
 share an id stand or fall together; rows without an id stay. An empty table gives an empty result.
@@ -27,6 +31,7 @@ from math import acos, ceil, comb, floor, log, log2, pi, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,10 @@ from grainmill.llm import simhash
 WORDS = 4
 #: Differing bits that the walk over a band allows.
 BAND_BUDGET = 1
+#: Candidates that a text names in one band in each round; None for all.
+ROUNDS = (2, 16, None)
+#: Named candidates that a task gathers before it drops what is beyond a text's share.
+GATHERED = 2_000_000
 _ALL = (1 << 64) - 1
 
 
@@ -52,11 +61,11 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``id_col``, ``fp`` (the sketch's first 64 bits as a signed long) and ``sketch`` for every row."""
+    """``id_col``, ``sketch`` and ``same`` (a digest of the shingle set, equal for equal sets) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, hashes, counts = [], [], []
+            found, hashes, counts, same = [], [], [], []
 
             def flush(found=found, hashes=hashes, counts=counts) -> None:
                 h, n = np.array(hashes, np.uint64), np.array(counts, np.int64)
@@ -68,15 +77,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 own = set(simhash.shingle_hashes(text.as_py(), width))
                 hashes += own
                 counts.append(len(own))
+                same.append(xxhash.xxh3_128_digest(np.sort(np.array(list(own), "<u8")).tobytes()))
                 if len(hashes) > simhash.SHINGLES_AT_ONCE:
                     flush()
             flush()
             rows = np.ascontiguousarray(np.concatenate(found).astype("<u8"))
             data = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[:, 0].view(np.int64)), data], [id_col, "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), data, pa.array(same, pa.binary())], [id_col, "sketch", "same"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sketch binary, same binary")
 
 
 def share_apart(similarity: float) -> float:
@@ -98,12 +108,27 @@ def band_plan(n: int, similarity: float, recall: float, seed: int = 29) -> np.nd
     return np.stack([rng.permutation(64 * WORDS)[:bits] for _ in range(ceil(log(1 - recall) / log(1 - met)))])
 
 
-def candidates(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, subtree: int = 1 << 18) -> DataFrame:
-    """Pairs (``a`` < ``b``) of rows of ``node`` (long) and ``sketch`` whose sketches are near enough.
+def some_of_each(links: np.ndarray, per_node: int) -> np.ndarray:
+    """Of the rows (text, candidate, bits apart) the nearest of each text and some at random, ``per_node`` in all."""
+    chance = mixed(links[:, 0].astype(np.uint64) << np.uint64(32) | links[:, 1].astype(np.uint64), 1)
+    kept = np.zeros(len(links), bool)
+    for n, by in ((-(-per_node // 2), (chance, links[:, 2], links[:, 0])), (per_node // 2, (chance, links[:, 0]))):
+        order = np.lexsort(by)
+        text = links[order, 0]
+        kept[order[np.arange(len(text)) - np.searchsorted(text, text) < n]] = True
+    return links[kept]
 
-    As :func:`simhash.links`, with a walk for each pair of subtrees of each band.
+
+def candidates(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, subtree: int = 1 << 18, per_node: int | None = None, n: int | None = None) -> DataFrame:
+    """Pairs (``a`` < ``b``) of rows of ``node`` (long, not negative) and ``sketch`` whose sketches are near enough.
+
+    As :func:`simhash.links`, with a walk for each pair of subtrees of each band. With a column ``label`` only pairs
+    of different labels count. With ``per_node`` each node names so many in a walk, and a row (node, -1) tells
+    that it has more. ``n`` is the number of nodes that the bands are made for, if not these.
     """
-    n = nodes.count()
+    n = nodes.count() if n is None else n
+    if "label" not in nodes.columns:
+        nodes = nodes.withColumn("label", F.col("node"))
     plan, most = band_plan(n, similarity, recall), most_apart(similarity)
     bits = plan.shape[1]
     depth = max(1, ceil(log2(max(n, 1) / subtree)))
@@ -116,32 +141,44 @@ def candidates(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95,
                 head = np.zeros((len(every), 64), np.uint8)
                 head[:, :bits] = every[:, places]
                 value = np.packbits(head, axis=1).view(">u8").ravel().astype("<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(value), band, np.int32)), pa.array(value.view(np.int64))], ["node", "sketch", "band", "value"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(value), band, np.int32)), pa.array(value.view(np.int64))], ["node", "sketch", "label", "band", "value"])
 
     masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << k for k in range(depth)))])
     pairs = (
-        nodes.select("node", "sketch")
-        .mapInArrow(cut, "node long, sketch binary, band int, value long")
+        nodes.select("node", "sketch", "label")
+        .mapInArrow(cut, "node long, sketch binary, label long, band int, value long")
         .withColumn("p", F.shiftrightunsigned("value", 64 - depth))
         .withColumn("q", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("p")))))
-        .select("node", "sketch", "value", "band", F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r"))
+        .select("node", "sketch", "label", "value", "band", F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r"))
     )
 
     def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values = group["value"].to_numpy().view(np.uint64)
         order = np.argsort(values, kind="stable")
-        values, node = values[order], group["node"].to_numpy()[order]
+        values, node, label = values[order], group["node"].to_numpy()[order], group["label"].to_numpy()[order]
         whole = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(-1, WORDS)[order]
-        found = [np.zeros((0, 2), np.int64)]
+        found, named, held = [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)], np.zeros(len(values), np.int64)
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            kept = np.bitwise_count(whole[i] ^ whole[j]).sum(1) <= most
-            found.append(np.stack([node[i[kept]], node[j[kept]]], 1))
+            apart = np.bitwise_count(whole[i] ^ whole[j]).sum(1, dtype=np.int64)
+            kept = (apart <= most) & (label[i] != label[j]) & (i < j)  # within a range each pair comes twice
+            a, b, apart = i[kept], j[kept], apart[kept]
+            if per_node is None:
+                found.append(np.stack([node[a], node[b]], 1))
+            else:
+                np.add.at(held, a, 1)
+                np.add.at(held, b, 1)
+                named.append(np.concatenate([np.stack([a, b, apart], 1), np.stack([b, a, apart], 1)]))
+                if sum(map(len, named[1:])) > GATHERED:
+                    named[:] = [some_of_each(np.concatenate(named), per_node)]
             return np.zeros(len(i), bool)  # pairs are wanted here, not classes
 
         simhash.trie_classes(values, depth, int(key[1]), int(key[2]), BAND_BUDGET, bits, near)
+        if per_node is not None:
+            found.append(node[some_of_each(np.concatenate(named), per_node)[:, :2]])
         rows = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
+        more = node[held > (per_node or 0)]
+        return pd.DataFrame({"a": np.concatenate([rows[:, 0], more]), "b": np.concatenate([rows[:, 1], np.full(len(more), -1)])})
 
     return pairs.groupBy("band", "l", "r").applyInPandas(walk, "a long, b long").distinct()
 
@@ -169,16 +206,24 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int = 5, similarity: floa
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """The rows of one document of each group, that with the smallest id."""
     made = scratch.materialize(sketches(docs, id_col, text_col, width), "sketches")
-    classes = scratch.materialize(simhash.grouped(made.select(id_col, "fp"), id_col), "classes")
-    first = made.join(classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col)
-    nodes = first.groupBy("sketch").agg(F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id())
+    nodes = made.groupBy("same").agg(F.min(id_col).alias("first"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.materialize(nodes, "sketch-nodes")
-    pairs = scratch.materialize(candidates(nodes, similarity, recall), "candidates")
-    asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "first")
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(asked, "first").dropDuplicates(["node"])
-    labels = simhash.connected(similar(pairs, texts, width, similarity))
+    n, rest, links = nodes.count(), nodes, None
+    for per_node in ROUNDS:
+        found = scratch.materialize(candidates(rest, similarity, recall, per_node=per_node, n=n), "candidates")
+        pairs = found.where("b >= 0")
+        asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "first")
+        texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(asked, "first").dropDuplicates(["node"])
+        held = scratch.materialize(similar(pairs, texts, width, similarity), "links")
+        links = held if links is None else links.union(held)
+        labels = simhash.connected(links)
+        more = found.where("b < 0").select(F.col("a").alias("node"))
+        if more.isEmpty():
+            break
+        rest = nodes.join(more, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joint = nodes.join(labels, "node")  # nodes with a link
     least = joint.groupBy("label").agg(F.min("first").alias("least"))
-    later = joint.join(least, "label").where("first <> least").select(F.col("first").alias(id_col))
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).union(later).distinct()
+    moved = joint.join(least, "label").where("first <> least").select("same", F.lit(True).alias("moved"))
+    classes = nodes.select("same", "first").join(moved, "same", "left")
+    gone = made.select(id_col, "same").join(classes, "same").where((F.col(id_col) != F.col("first")) | F.col("moved")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

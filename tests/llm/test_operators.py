@@ -443,6 +443,24 @@ def test_similar_pairs_are_exact(spark):
     assert len(want & found) >= 0.9 * len(want)
 
 
+def start_of_sketch(texts):
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    return simhash.majority(np.array([h for s in sets for h in s], np.uint64), np.array([len(s) for s in sets]))
+
+
+def test_similar_keeps_what_only_looks_near(spark):
+    """Texts below the similarity stay though the first 64 bits of their sketches are within 3."""
+    rnd = random.Random(14)
+    base = sentence(rnd, 300, 50_000)
+    texts = [base, *(changed(rnd, base, 9) for _ in range(4000))]
+    apart = np.bitwise_count(start_of_sketch(texts) ^ start_of_sketch([base]))
+    texts = [t for t, d in zip(texts, apart, strict=True) if d <= 3]
+    sets = [shingles(t) for t in texts]
+    assert len(texts) > 3 and all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
+    assert simhash_similar.deduplicate(docs).count() == len(texts)
+
+
 def test_band_plan_grows_slowly():
     assert simhash_similar.share_apart(1.0) == 0 and 0.15 < simhash_similar.share_apart(0.8) < 0.16
     few, many = simhash_similar.band_plan(1000, 0.8, 0.9), simhash_similar.band_plan(10**9, 0.8, 0.9)
