@@ -461,6 +461,29 @@ def test_similar_keeps_what_only_looks_near(spark):
     assert simhash_similar.deduplicate(docs).count() == len(texts)
 
 
+def test_similar_chains(spark):
+    """What is similar to any member of a group goes with it, not only what is similar to its first."""
+    rnd = random.Random(15)
+    texts, group = [], []
+    for g in range(20):
+        a = sentence(rnd, 300, 50_000)
+        others = [changed(rnd, a, 4) for _ in range(300)]
+        b = others[int(np.argmin(np.bitwise_count(start_of_sketch(others) ^ start_of_sketch([a]))))]
+        alike = lambda s, t, least: len(shingles(s) & shingles(t)) >= least * len(shingles(s) | shingles(t))
+        x = next(t for t in (changed(rnd, b, 4) for _ in range(1000)) if alike(t, b, 0.85) and not alike(t, a, 0.8))
+        texts += [a, b, x]
+        group += [g] * 3
+    long_chain = [sentence(rnd, 300, 50_000)]
+    for _ in range(60):
+        long_chain.append(changed(rnd, long_chain[-1], 3))
+    hub = sentence(rnd, 300, 50_000)
+    texts += long_chain + [hub, *(changed(rnd, hub, 3) for _ in range(60))]
+    group += [20] * 61 + [21] * 61
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
+    kept, first = {r["doc_id"] for r in simhash_similar.deduplicate(docs).collect()}, {group.index(g) for g in range(22)}
+    assert kept >= first and len(kept - first) <= 0.02 * (len(texts) - len(first))  # the bands' recall
+
+
 def test_band_plan_grows_slowly():
     assert simhash_similar.share_apart(1.0) == 0 and 0.15 < simhash_similar.share_apart(0.8) < 0.16
     few, many = simhash_similar.band_plan(1000, 0.8, 0.9), simhash_similar.band_plan(10**9, 0.8, 0.9)
