@@ -4,12 +4,14 @@ A rule fits its host and all subdomains where the path starts with the rule's; t
 that no rule fits are judged by their template. Per host the paths form a tree of segments. Level by level,
 numbers within segments become ``#``; a node with more than ``most_children`` different segments gets a
 wildcard in their place; and branches whose share of blocked pages among labelled ones does not differ
-statistically from that of all labelled siblings together are merged. A template is rejected when its share
-of blocked pages, smoothed towards the share in the whole table, reaches ``purity``.
+statistically from that of all labelled siblings together are merged. A branch without labelled pages joins them only where
+it has at least ``least_alike`` labelled siblings and all of those are alike, so that the segment says nothing. A template is
+rejected when it has labelled pages and its share of blocked pages among them, smoothed towards the host's, reaches
+``purity``; the host's share is smoothed towards one half, so that a few pages do not decide.
 
 Counts are summed by host and shape of path before any of that, so a host that holds a third of all pages is
 as many rows as it has shapes. Null URLs and those without ``://`` have empty host and path, no rule, and are
-judged like any other template. Branches without labelled pages are never merged with labelled ones. Repeated
+judged like any other template; a template without labelled pages is allowed. Repeated
 rows count as often as they stand there. An empty table gives an empty result.
 """
 
@@ -53,7 +55,7 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#")
 
 
-def templates(counts: DataFrame, most_children: int = 32, most_levels: int = 8, z: float = 2.0) -> DataFrame:
+def templates(counts: DataFrame, most_children: int = 32, most_levels: int = 8, z: float = 2.0, least_alike: int = 3) -> DataFrame:
     """``host``, ``shape`` and ``template`` from ``host``, ``shape``, ``n``, ``labelled``, ``blocked``.
 
     Segments beyond ``most_levels`` share the template's last place.
@@ -69,8 +71,10 @@ def templates(counts: DataFrame, most_children: int = 32, most_levels: int = 8,
         pool, own = F.col("b") / F.col("l"), F.col("blocked") / F.col("labelled")
         error = F.sqrt(pool * (1 - pool) / F.col("labelled"))
         alike = (F.col("labelled") > 0) & (F.col("kids") > 1) & (F.abs(own - pool) <= z * error)
-        name = F.when(F.col("kids") > most_children, F.lit("*")).when(F.when(F.col("labelled") > 0, alike).otherwise(False), F.lit("*")).otherwise(F.col("at"))
-        names = kids.join(nodes, ["host", "template"]).select("host", "template", "at", name.alias("name"))
+        kids = kids.join(nodes, ["host", "template"]).withColumn("alike", F.when(F.col("labelled") > 0, alike))
+        agreed = kids.groupBy("host", "template").agg(((F.count("alike") >= least_alike) & F.min("alike")).alias("agreed"))
+        name = F.when((F.col("kids") > most_children) | F.coalesce("alike", "agreed"), F.lit("*")).otherwise(F.col("at"))
+        names = kids.join(agreed, ["host", "template"]).select("host", "template", "at", name.alias("name"))
         now = now.join(names, ["host", "template", "at"], "left")
         now = now.withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).drop("at", "name")
         now = scratch.materialize(now, "url-tree")
@@ -87,10 +91,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: s
         F.count("*").alias("n"), F.count("_ruled").alias("labelled"), F.sum(F.when(F.col("_ruled") == "block", 1).otherwise(0)).alias("blocked")
     )
     tree_rows = templates(counts, **tree)
-    whole = tree_rows.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
-    prior = whole["b"] / whole["l"] if whole["l"] else 0.0
-    smoothed = (F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)
-    bad = tree_rows.groupBy("host", "template").agg(smoothed.alias("share")).where(F.col("share") >= purity).select("host", "template")
+    shares = tree_rows.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).where("l > 0")
+    hosts = shares.groupBy("host").agg(((F.sum("b") + weight * 0.5) / (F.sum("l") + weight)).alias("prior"))
+    smoothed = (F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)
+    bad = shares.join(hosts, "host").where(smoothed >= purity).select("host", "template")
     bad_shapes = tree_rows.join(bad, ["host", "template"]).select(F.col("host").alias("_asked"), F.col("shape").alias("_shape"), F.lit(True).alias("_bad"))
     # Only pages without a rule ask for their template's verdict; the rest pass by the join.
     asked = F.when(F.col("_ruled").isNull(), F.col("_host"))

@@ -290,6 +290,15 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_tree_alone_decides(spark):
+    """Open pages join a segment that varies among labelled pages; without labelled pages nothing is rejected."""
+    rules = [("block", f"bad.org/go/{v}/ad/") for v in "abcd"] + [("block", "two.org/es/"), ("block", "two.org/fr/"), ("block", "few.org/x/1")]
+    urls = [f"http://bad.org/go/{v}/ad/{n}" for v in "abcd" for n in range(50)] + [f"http://two.org/{v}/{n}" for v in ("es", "fr") for n in range(50)] + ["http://few.org/x/1"]
+    asked = {"http://bad.org/go/new/ad/7": "block", "http://bad.org/go/new/text/7": "allow", "http://two.org/en/1": "allow", "http://few.org/x/2": "allow", "http://other.org/1": "allow", "": "allow"}
+    out = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *asked])], "page_id long, url string"), rules)
+    assert {r["url"]: r["verdict"] for r in out.collect() if r["url"] in asked} == asked
+
+
 def test_url_templates(spark):
     """A template of blocked pages takes an unruled page with it; clean hosts and branches stay."""
     rules = (("block", "bad.org/x/ads/1"), ("block", "bad.org/x/ads/2"), ("block", "bad.org/y/ads/"), ("allow", "bad.org/news/"), ("allow", "good.org/x/"))
