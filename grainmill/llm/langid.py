@@ -249,7 +249,12 @@ def digest(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language."""
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows whose text is in a language that the model knows, with at least that score; all if it knows none.
+
+    A model of a single language has the score 1 for whatever has a letter.
+    """
+    if not model.languages:
+        return docs
     out = docs.withColumn("_p", predicted(model, F.col(text_col)))
-    return out.where(F.col("_p.lang") != UNKNOWN).drop("_p")
+    return out.where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least_score)).drop("_p")

@@ -582,6 +582,19 @@ def test_language_id(spark, cluttered, empty):
     assert {r["lang_pred"] for r in langid.digest(docs.limit(4), untaught).collect()} == {"und"}
 
 
+def test_language_stage_rejects_by_score(spark, empty):
+    """Letters in no known language go, documents in one stay; without labels nothing goes."""
+    vocabulary = {"en": "the of and with that this there water", "de": "der die und nicht wasser schon über auch", "fr": "le les des être où eau déjà avec", "es": "el los las niño agua está mañana con"}
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choices(words.split(), k=12)), lang, None, 1) for i, (lang, words) in enumerate([*vocabulary.items()] * 60)]
+    rows += [(1000 + i, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz   ", k=200)), None, None, 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in langid.keep_known(docs, langid.train(docs)).collect()}
+    clean = {i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert len(kept & clean) >= 0.95 * len(clean) and len([i for i in kept if i >= 1000]) <= 2
+    assert langid.keep_known(docs, langid.train(empty)).count() == docs.count()
+
+
 def test_language_id_ignores_other_columns(spark):
     docs = spark.createDataFrame([(i, "the water" if i % 2 else "die nacht", "en" if i % 2 else "de", "s", 1) for i in range(80)], DOCS)
     model = langid.train(docs)
