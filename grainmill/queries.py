@@ -477,12 +477,16 @@ def json_payload_validate(spark, sf):
 
 
 def _payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """An analysis built around each document; some lack fields."""
-    t = F.substr("text", F.lit(1), F.lit(40))
-    field = lambda k: F.when(F.col("doc_id") % 7 == k, F.lit("  ")).otherwise(t)
+    """An analysis built around each document, whose whole text is dealt to the fields in equal parts; some lack fields.
+
+    A field whose part is blank has the whole text.
+    """
+    part = lambda k, n: F.substr("text", F.floor(F.length("text") * k / n).cast("int") + 1, (F.floor(F.length("text") * (k + 1) / n) - F.floor(F.length("text") * k / n)).cast("int"))
+    dealt = lambda k, n: F.when(part(k, n).rlike(r"[^ \n\t\r\u00a0]"), part(k, n)).otherwise(F.col("text"))
+    field = lambda k: F.when(F.col("doc_id") % 7 == k, F.lit("  ")).otherwise(dealt(k, len(L.LINE_FIELDS)))
     line = F.struct(*[field(k).alias(f) for k, f in enumerate(L.LINE_FIELDS)])
     lines = F.create_map(*[x for n in L.REQUIRED_LINES for x in (F.lit(n), line)])
-    analysis = F.struct(lines.alias("lines"), *[t.alias(f) for f in L.REPORT_FIELDS])
+    analysis = F.struct(lines.alias("lines"), *[dealt(k, len(L.REPORT_FIELDS)).alias(f) for k, f in enumerate(L.REPORT_FIELDS)])
     return _t(spark, sf, "documents").select("doc_id", F.to_json(F.struct(analysis.alias(L.TOP_KEY))).alias("raw"))
 
 

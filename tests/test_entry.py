@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 import subprocess
 import sys
@@ -62,3 +63,18 @@ def test_query_equals_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert core.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_payloads_have_the_whole_text(spark):
+    from grainmill import lexicons as L
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = core._payloads(spark, DATA).collect()
+    assert len(rows) == len(texts) and any(len(t or "") > 40 for t in texts.values())
+    for r in rows:
+        fields = json.loads(r["raw"])[L.TOP_KEY]
+        t = texts[r["doc_id"]] or ""
+        if len(t) > 40:
+            assert all(fields[f] in t for f in L.REPORT_FIELDS)
+            if t not in [fields[f] for f in L.REPORT_FIELDS]:
+                assert "".join(fields[f] for f in L.REPORT_FIELDS) == t
