@@ -33,8 +33,10 @@ SEED = 42
 #: Shingles whose bits are counted at once, and pairs of trie nodes walked at once, in one task.
 SHINGLES_AT_ONCE = 200_000
 PAIRS_AT_ONCE = 400_000
-#: Two nodes with at most so many pairs of fingerprints are compared outright.
+#: Two nodes with at most so many pairs of fingerprints are compared outright; beyond the second number, only those in different classes.
 LEAF = 32
+MANY = 1 << 16
+_BYTES = np.uint64(0x0101010101010101)
 
 
 def shingle_hashes(text: bytes | None, width: int = 3) -> list[int]:
@@ -49,14 +51,22 @@ def shingle_hashes(text: bytes | None, width: int = 3) -> list[int]:
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Fingerprints of consecutive runs of ``counts`` hashes; a run of none gives zero."""
+    """Fingerprints of consecutive runs of ``counts`` hashes; a run of none gives zero.
+
+    Each byte of a word counts one of its bits, so stretches of up to 255 hashes are added as words.
+    """
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+        n = counts[full]
+        parts = -(-n // 255)
+        first = np.cumsum(parts) - parts
+        starts = np.repeat(np.cumsum(n) - n - 255 * first, parts) + 255 * np.arange(parts.sum())
+        ones = np.empty((len(full), 64), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat(hashes >> np.uint64(k) & _BYTES, starts).astype("<u8")
+            ones[:, k::8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        out[full] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -154,6 +164,10 @@ def trie_classes(values: np.ndarray, prefix_bits: int, left: int, right: int, bu
 
 def _compare(values: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, budget: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
     """Link what lies within the budget between the ranges [a, b) and [c, d), in bounded blocks."""
+    many = (b - a) * (d - c) > MANY
+    for spans in zip(a[many], b[many], c[many], d[many], strict=True):
+        _compare_many(values, labels, *map(int, spans), budget, near)
+    a, b, c, d = a[~many], b[~many], c[~many], d[~many]
     most = 4 * PAIRS_AT_ONCE
     rows = np.maximum(1, most // (d - c))  # of [a, b) in one block
     parts = -(-(b - a) // rows)
@@ -171,15 +185,38 @@ def _compare(values: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarra
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = (d - c)[which]
         i, j = a[which] + k // width, c[which] + k % width
-        within = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i != j)
-        i, j = i[within], j[within]
-        if near is not None:
-            linked = near(i, j)
-            i, j = i[linked], j[linked]
-        _merge(labels, i, j)
+        _link(values, labels, i, j, budget, near)
         at = to
 
 
+def _link(values: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+    """Link what lies within the budget of the pairs (i, j)."""
+    within = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i != j)
+    i, j = i[within], j[within]
+    if near is not None:
+        linked = near(i, j)
+        i, j = i[linked], j[linked]
+    _merge(labels, i, j)
+
+
+def _compare_many(values: np.ndarray, labels: np.ndarray, a: int, b: int, c: int, d: int, budget: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+    """As :func:`_compare` for two large ranges: a few rows at a time, and only against what is not in their class by then.
+
+    Where nearly all of the ranges are one class, that takes time in proportion to them.
+    """
+    step = 1
+    while a < b:
+        rows = np.arange(a, min(b, a + step))
+        before = labels[rows]
+        for label in np.unique(before):
+            own = rows[before == label]  # one class still, whatever it has joined since
+            rest = np.arange(c, d)
+            rest = rest[labels[rest] != labels[own[0]]]
+            _link(values, labels, np.repeat(own, len(rest)), np.tile(rest, len(own)), budget, near)
+        a += step
+        step = min(2 * step, max(1, PAIRS_AT_ONCE // (d - c)), 64)
+
+
 def links(fps: DataFrame, budget: int = 3, subtree: int = 1 << 20, least_depth: int = 6) -> DataFrame:
     """A spanning forest (``a``, ``b``) of the links between distinct fingerprints in column ``fp``.
 

@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from grainmill import scratch
 from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, queries, simhash, simhash_similar, token_store, tokens, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -436,20 +437,55 @@ def test_similar_texts(spark, empty):
     assert simhash_similar.deduplicate(empty).count() == 0
 
 
-def test_similar_pairs_are_exact(spark):
+def classes_of(n, pairs):
+    """Smallest member of the component of each of ``n`` nodes."""
+    label = list(range(n))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in pairs:
+        i, j = top(i), top(j)
+        label[max(i, j)] = min(i, j)
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 3000])
+def test_links_of_clusters_are_exact(spark, limit):
+    """Whole clusters, and one cut into blocks, link what brute force links, and nothing else."""
     rnd = random.Random(13)
-    base = [sentence(rnd, 120, 5000) for _ in range(40)]
-    texts = base + [changed(rnd, b, n) for b in base for n in (1, 2, 3, 4, 6)]
-    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    every = df.select(F.col("node").alias("a")).join(df.select(F.col("node").alias("b")), F.col("b") - F.col("a") == 40)
-    got = {tuple(r) for r in simhash_similar.similar(every, df).collect()}
+    base = [sentence(rnd, 120, 5000) for _ in range(12)]
+    texts = base + [changed(rnd, b, n) for b in base for n in (1, 2, 3, 4, 5, 6, 6, 7)] + [changed(rnd, base[0], 1 + k % 7) for k in range(150)]
     sets = [shingles(t) for t in texts]
     alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    assert got == {(i, i + 40) for i in range(len(texts) - 40) if alike(i, i + 40)}
-    nodes = simhash_similar.sketches(df, "node").select("node", "sketch")
-    found = {tuple(r) for r in simhash_similar.candidates(nodes).collect()}
-    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(i, j)}
-    assert len(want & found) >= 0.9 * len(want)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if alike(i, j)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    same = simhash_similar.sketches(docs, "node").select("node", "same")
+    held = docs.join(same, "node").withColumn("cluster", F.when(F.col("node") == 5, 1).otherwise(0).cast("long"))
+    sets_of = scratch.materialize(simhash_similar.shingle_sets(held), "sets")
+    assert sets_of.count() == len(texts)
+    found = {tuple(sorted((r["a"], r["b"]))) for r in simhash_similar.cluster_pairs(sets_of, shingles=limit, shared=8).collect()}
+    assert found <= want and len(found) <= 12 * len(texts)
+    assert classes_of(len(texts), found) == classes_of(len(texts), {p for p in want if 5 not in p})
+
+
+def test_near_copies_make_rows_in_proportion(spark):
+    """Walks and comparisons return forests: no more rows than texts, band by band, however many lie near each other."""
+    rnd = random.Random(16)
+    base = sentence(rnd, 300, 50_000)
+    made = {}
+    for n in (300, 1200):
+        texts = [base, *(changed(rnd, base, k % 12) for k in range(n))]
+        docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+        nodes = scratch.materialize(simhash_similar.sketches(docs, "node"), "nodes").dropDuplicates(["same"])
+        made[n] = simhash_similar.near(nodes).count()
+        sets = [shingles(t) for t in texts]
+        want = classes_of(len(texts), [(0, j) for j, t in enumerate(sets) if len(t & sets[0]) >= 0.8 * len(t | sets[0])])
+        kept = simhash_similar.deduplicate(docs.withColumnRenamed("node", "doc_id")).count()
+        assert abs(kept - len(set(want))) <= 0.02 * n
+    assert made[1200] <= 5 * made[300]
 
 
 def start_of_sketch(texts):
@@ -457,6 +493,28 @@ def start_of_sketch(texts):
     return simhash.majority(np.array([h for s in sets for h in s], np.uint64), np.array([len(s) for s in sets]))
 
 
+def test_majority_counts_bits():
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 1, 2, 255, 256, 0, 1000, 3])
+    hashes = rng.integers(0, 1 << 64, counts.sum(), np.uint64)
+    want, at = [], 0
+    for n in counts:
+        own = [int(h) for h in hashes[at : at + n]]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > n))
+        at += n
+    assert simhash.majority(hashes, counts).tolist() == want
+
+
+@pytest.mark.parametrize("near", [None, lambda i, j: (i + j) % 3 > 0])
+def test_walk_of_large_ranges(near):
+    """Ranges compared only across classes give the classes of all pairs."""
+    rng = np.random.default_rng(4)
+    values = np.sort((rng.integers(0, 4, 900).astype(np.uint64) << np.uint64(62)) | rng.integers(0, 3, 900).astype(np.uint64))
+    got = simhash.trie_classes(values, 0, 0, 0, 1, 62, near)
+    pairs = [(i, j) for j in range(900) for i in range(j) if int(values[i] ^ values[j]).bit_count() <= 1 and (near is None or near(i, j))]
+    assert got.tolist() == classes_of(900, pairs)
+
+
 def test_similar_keeps_what_only_looks_near(spark):
     """Texts below the similarity stay though the first 64 bits of their sketches are within 3."""
     rnd = random.Random(14)
@@ -496,7 +554,7 @@ def test_similar_chains(spark):
 def test_band_plan_grows_slowly():
     assert simhash_similar.share_apart(1.0) == 0 and 0.15 < simhash_similar.share_apart(0.8) < 0.16
     few, many = simhash_similar.band_plan(1000, 0.8, 0.9), simhash_similar.band_plan(10**9, 0.8, 0.9)
-    assert few.shape[1] == 16 and many.shape[1] == 36 and len(few) < len(many) < 150
+    assert few.shape[1] == 16 and many.shape[1] == 32 and len(few) < len(many) < 150
     assert all(len(set(b)) == len(b) for b in many.tolist())
 
 
