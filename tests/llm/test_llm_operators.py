@@ -292,14 +292,82 @@ def test_url_rules(spark):
 
 
 def test_url_tree_alone_decides(spark):
-    """Open pages join a segment that varies among labelled pages; without labelled pages nothing is rejected."""
-    rules = [("block", f"bad.org/go/{v}/ad/") for v in "abcd"] + [("block", "two.org/es/"), ("block", "two.org/fr/"), ("block", "few.org/x/1")]
-    urls = [f"http://bad.org/go/{v}/ad/{n}" for v in "abcd" for n in range(50)] + [f"http://two.org/{v}/{n}" for v in ("es", "fr") for n in range(50)] + ["http://few.org/x/1"]
-    asked = {"http://bad.org/go/new/ad/7": "block", "http://bad.org/go/new/text/7": "allow", "http://two.org/en/1": "allow", "http://few.org/x/2": "allow", "http://other.org/1": "allow", "": "allow"}
+    """Open pages join branches that look alike where the labels agree; elsewhere nothing is rejected."""
+    rules = [("block", f"bad.org/go/{v}/ad/") for v in "abcd"] + [("block", "two.org/es/"), ("block", "two.org/fr/"), ("block", "mixed.org/es/"), ("allow", "mixed.org/fr/"), ("block", "few.org/x/1"), ("block", "shape.org/es/")]
+    urls = [f"http://bad.org/go/{v}/ad/{n}" for v in "abcd" for n in range(50)]
+    urls += [f"http://{h}.org/{v}/{n}" for h in ("two", "mixed") for v in ("es", "fr") for n in range(50)] + ["http://few.org/x/1"]
+    urls += [f"http://shape.org/es/{n}" for n in range(90)] + [f"http://shape.org/about/team/{v}" for v in "abcdefghijklmnopqrst"]
+    asked = {"http://bad.org/go/new/ad/7": "block", "http://two.org/en/1": "block", "http://mixed.org/en/1": "allow", "http://shape.org/about/team/z": "allow", "http://few.org/x/2": "allow", "http://other.org/1": "allow", "": "allow"}
     out = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *asked])], "page_id long, url string"), rules)
     assert {r["url"]: r["verdict"] for r in out.collect() if r["url"] in asked} == asked
 
 
+def brute_verdicts(urls, rules, most_children=32, z=2.0, alpha=0.05, purity=0.9, weight=10.0):
+    """The tree in plain loops over single pages."""
+    pages = []
+    for url in urls:
+        host, path = (re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url).groups()) if "://" in url else ("", "")
+        fits = [(len(r), k) for k, r in rules if (host == (o := r.partition("/")[0]) or host.endswith("." + o)) and path.startswith(r[len(o) :])]
+        pages.append({"host": host, "ruled": max(fits)[1] if fits else None, "seg": re.sub("[0-9]+", "#", re.sub("^/", "", path)).split("/"), "template": ""})
+    count = lambda rows: (len(rows), sum(p["ruled"] is not None for p in rows), sum(p["ruled"] == "block" for p in rows))
+    for level in range(max(len(p["seg"]) for p in pages)):
+        names = {}
+        live = [p for p in pages if len(p["seg"]) > level]
+        for node in {(p["host"], p["template"]) for p in live}:
+            here = [p for p in live if (p["host"], p["template"]) == node]
+            following = lambda rows: Counter((p["seg"] + ["/"])[level + 1] for p in rows)
+            n, l, b = count(here)
+            for at in (kids := {p["seg"][level] for p in here}):
+                own = [p for p in here if p["seg"][level] == at]
+                m, lab, blk = count(own)
+                common = sum(min(c / m, following(here)[k] / n) for k, c in following(own).items())
+                looks = len(kids) > 1 and 1 - common <= np.sqrt((len(following(here)) * np.log(2) + np.log(1 / alpha)) / (2 * m))
+                agrees = lab == 0 or abs(blk / lab - b / l) <= z * np.sqrt(b / l * (1 - b / l) / lab)
+                names[(*node, at)] = "*" if len(kids) > most_children or (looks and agrees) else at
+        for p in live:
+            p["template"] += "/" + names[p["host"], p["template"], p["seg"][level]]
+    out = []
+    for p in pages:
+        _, hl, hb = count([q for q in pages if q["host"] == p["host"]])
+        _, tl, tb = count([q for q in pages if q["host"] == p["host"] and q["template"] == p["template"]])
+        prior = (hb + weight / 2) / (hl + weight)
+        out.append(p["ruled"] or ("block" if tl and (tb + weight * prior) / (tl + weight) >= purity else "allow"))
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    rnd = random.Random(6)
+    rules = [("block", "a.net/es/"), ("block", "a.net/fr/"), ("allow", "b.net/es/"), ("block", "b.net/"), ("block", "c.net/x/")]
+    hosts, words = ["a.net", "m.a.net", "b.net", "c.net", "d.net"], ["es", "fr", "en", "x"]
+    urls = []
+    for _ in range(500):
+        parts = [rnd.choice(words), rnd.choice(["7", "8.html", "w", "page9"]), *rnd.sample(["", "deep", "1"], rnd.randrange(3))]
+        urls.append(f"http://{rnd.choice(hosts)}/" + "/".join(parts[: rnd.randint(1, 4)]))
+    urls += [f"http://c.net/x/{w}{n}" for n, w in enumerate(rnd.choices("pqrs", k=60))] + [f"http://c.net/{chr(97 + n % 26)}{chr(97 + n // 26)}/1" for n in range(60)]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    want = brute_verdicts(urls, rules)
+    assert [got[i] for i in range(len(urls))] == want
+    assert "block" in {v for u, v in zip(urls, want, strict=True) if "//a.net/en" in u} and {v for u, v in zip(urls, want, strict=True) if "d.net" in u} == {"allow"}
+
+
+def test_url_tree_on_unseen_labels(spark):
+    """Pages whose labels the tree has not seen: what it blocks, the rules block."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    ruled = url_filter.judge(pages).where("rule IS NOT NULL").select("page_id", F.col("verdict").alias("true"))
+    held = url_filter.judge(pages, labelled=F.col("page_id") % 5 != 0).where("page_id % 5 = 0").join(ruled, "page_id")
+    found = Counter((r["verdict"], r["true"]) for r in held.collect())
+    assert found["block", "block"] > 0 and found["block", "allow"] <= 0.1 * found["block", "block"]
+
+
+def test_url_columns_with_clashing_names(spark):
+    names = ("seen", "ruled", "shape", "asked", "bad", "n", "template", "_host", "_bad")
+    pages = spark.createDataFrame([(1, "http://x.net/es/1"), (2, None), (3, "http://x.org/" + "a/" * 3000)], "page_id long, url string").withColumns({n: F.lit(n) for n in names})
+    out = url_filter.judge(pages.withColumn("page", F.lit("p")))
+    assert {r["page_id"]: r["verdict"] for r in out.collect()} == {1: "block", 2: "allow", 3: "allow"}
+    assert all([r[n] for n in (*names, "page")] == [*names, "p"] for r in out.collect())
+
+
 def test_url_templates(spark):
     """A template of blocked pages takes an unruled page with it; clean hosts and branches stay."""
     rules = (("block", "bad.org/x/ads/1"), ("block", "bad.org/x/ads/2"), ("block", "bad.org/y/ads/"), ("allow", "bad.org/news/"), ("allow", "good.org/x/"))
