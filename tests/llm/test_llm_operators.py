@@ -85,9 +85,10 @@ def vectors(spark, n=600, dim=16, copies=40):
     return x, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("leaf", [1024, 32])
-def test_neighbours(spark, monkeypatch, leaf):
-    monkeypatch.setattr(ann, "LEAF", leaf)
+@pytest.mark.parametrize(("piece", "leaf"), [(1 << 14, 256), (64, 16)])
+def test_neighbours(spark, monkeypatch, piece, leaf):
+    for name, value in (("PIECE", piece), ("LEAF", leaf), ("MOST_SHARDS", 4), ("QUERIES", 40), ("ROWS_SENT", 50)):
+        monkeypatch.setattr(ann, name, value)
     x, df = vectors(spark)
     found = {}
     for r in ann.search(df.withColumn("id", F.lit(0)), F.col("vec_id") % 10 == 0).collect():
@@ -109,10 +110,28 @@ def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 3.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0])], "vec_id long, embedding array<float>")
     rows = ann.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows] == [(0, 1, 7, 0.0), (0, 2, 100, 1.0), (100, 1, 0, 1.0), (100, 2, 7, 1.0)]
+    two = df.union(spark.createDataFrame([(200, [0.0, 0.0, 1.0]), (8, [0.0, 0.0, 3.0]), (300, [5.0])], df.schema)).withColumns({n: F.lit(1) for n in ("v", "asked", "point", "shard")})
+    rows = ann.search(two, F.col("vec_id") % 100 == 0).where("query_id >= 200").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows] == [(200, 1, 8, 2.0)]  # each length among its own
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
     assert ann.search(df, F.lit(False)).count() == 0
 
 
+def test_pieces_close_leaves_where_vectors_cluster():
+    """With clusters far apart a query opens few leaves; the share verified stays small and nothing near is lost."""
+    rng = np.random.default_rng(8)
+    centres = 20 * rng.standard_normal((40, 64))
+    x = centres[rng.integers(0, 40, 8000)] + rng.standard_normal((8000, 64))
+    axes, limit = rng.standard_normal((64, ann.DIMS)), ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMS)
+    piece, hits, verified = ann.Piece(x, x @ axes, [[i] for i in range(len(x))]), 0, 0
+    for q in range(0, 8000, 200):
+        apart = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = np.argsort(apart)[:11]
+        best, done = piece.nearest(x[q], x[q] @ axes, 11, apart[want].max() * 1.2, limit)
+        hits, verified = hits + len({i for _, i in best} & set(want.tolist())), verified + done
+    assert hits >= 0.95 * 11 * 40 and verified <= 0.05 * 40 * len(x)
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.50731, abs=1e-4)
 
