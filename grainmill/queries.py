@@ -6,8 +6,6 @@ records, documents for reports, events for a generation log. Word lists are Engl
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,26 +14,8 @@ from grainmill import lexicons as L
 from grainmill.functions import gates, jsonx, rewards, text
 from grainmill.operators import genlog, metrics, quality, records, selection, splits
 from grainmill.operators.ranking import floor_quantiles
-from grainmill.session import reach_workers
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    reach_workers(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+from grainmill.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from grainmill.registry import table as _t
 
 def _terms(terms: tuple[str, ...], column: str = "text") -> str:
     return " + ".join(f"((length({column}) - length(replace({column}, '{t}', ''))) // {len(t)})" for t in terms)
@@ -397,62 +377,11 @@ def section_order_score(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.round(text.ordered_score(t, GROUPS), 9).alias("ordered"), F.round(text.mention_score(t, list(LINES)), 9).alias("mention"))
 
 
-@query(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[{}]|```') THEN 0 WHEN n < 120 THEN round(n / 120::DOUBLE, 9) WHEN n <= 1800 THEN 1 ELSE 0.6 END::DOUBLE AS length_band,
-    CASE WHEN regexp_full_match(text, '(?s)<think>.*') THEN 1 ELSE 0 END::DOUBLE AS think_format
-    FROM (SELECT doc_id, text, length(regexp_replace(text, '[^a-z]+', '', 'g')) AS n FROM documents)"""
-)
-def length_band_reward(spark, sf):
-    t = F.col("text")
-    n = F.length(F.regexp_replace(t, "[^a-z]+", ""))
-    band = F.when(t.rlike(r"[{}]|```"), 0.0).when(n < 120, F.round(n / 120, 9)).when(n <= 1800, 1.0).otherwise(0.6)
-    return _t(spark, sf, "documents").select("doc_id", band.alias("length_band"), rewards.think_format(t).alias("think_format"))
-
-
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[{}]|```') THEN 0 ELSE 0 END::DOUBLE AS report_format FROM documents")
-def format_reward(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", rewards.report_format(F.col("text")).alias("report_format"))
-
-
 @query(f"SELECT doc_id, CASE WHEN {_any(AGAIN)} THEN 0.0 WHEN {_any(('with', 'for'))} THEN 1.0 ELSE 0.2 END::DOUBLE AS safety FROM documents")
 def safety_language(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", rewards.safety(F.col("text"), ("with", "for"), AGAIN).alias("safety"))
 
 
-@query(
-    rf"""WITH p AS (SELECT a.conv_id, a.text AS x, b.text AS y, regexp_replace(a.text, '\s+', '', 'g') AS cx, regexp_replace(b.text, '\s+', '', 'g') AS cy FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-    g AS (SELECT *, {_GRAMS.format("cx")} AS gx, {_GRAMS.format("cy")} AS gy FROM p),
-    j AS (SELECT *, CASE WHEN len(gx) = 0 OR len(gy) = 0 THEN 0 ELSE len(list_intersect(gx, gy))::DOUBLE / (len(gx) + len(gy) - len(list_intersect(gx, gy))) END AS jac FROM g)
-    SELECT conv_id, round(0.45 * jac + 0.35 * CASE WHEN contains(x, 'the') THEN CASE WHEN contains(y, 'ing') THEN 1 ELSE 0 END ELSE jac END
-                          + 0.20 * (contains(y, 'the')::INT + contains(y, 'of')::INT + contains(y, 'and')::INT) / 3::DOUBLE, 9) AS alignment FROM j"""
-)
-def alignment_reward(spark, sf):
-    turns = _t(spark, sf, "conversations")
-    a, b = (turns.where(f"turn = {k}").select("conv_id", F.col("text").alias(n)) for k, n in ((0, "x"), (1, "y")))
-    rows = a.join(b, "conv_id").withColumn("jac", text.jaccard(F.col("x"), F.col("y")))
-    line = F.when(F.col("x").contains("the"), F.col("y").contains("ing").cast("double")).otherwise(F.col("jac"))
-    value = 0.45 * F.col("jac") + 0.35 * line + 0.20 * text.mention_score(F.col("y"), list(LINES))
-    return rows.select("conv_id", F.round(value, 9).alias("alignment"))
-
-
-@query(
-    f"""WITH s AS (SELECT doc_id, text, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents),
-    c AS (SELECT doc_id, a <> '' AND b <> '' AS chk, contains(b, 'the') AS u, contains(a, 'ing ') AS c, contains(a, 'idiot')::INT + contains(a, '!!')::INT AS d, len(regexp_extract_all(a, '[A-Z][a-z]+,')) AS n FROM s)
-    SELECT doc_id, round(CASE WHEN NOT chk THEN 0 ELSE greatest(0, 1 - ((u AND NOT c)::INT + least(1::DOUBLE, 0.35::DOUBLE * d)
-        + CASE WHEN d > 0 AND n > 0 THEN least(0.6::DOUBLE, 0.2::DOUBLE * n) WHEN u THEN least(0.5::DOUBLE, 0.15::DOUBLE * n) ELSE 0 END)) END, 9) AS reward FROM c"""
-)
-def line_penalty_reward(spark, sf):
-    half = F.floor(F.length("text") / 2).cast("int")
-    rows = _t(spark, sf, "documents").select("doc_id", F.substr("text", F.lit(1), half).alias("a"), F.substr("text", half + 1).alias("b"))
-    u, c = F.col("b").contains("the"), F.col("a").contains("ing ")
-    d = rewards.unsupported(F.col("a"), F.lit(""), AGAIN).cast("double")
-    n = rewards.assertive(F.col("a"), ("[A-Z][a-z]+,",)).cast("double")
-    extra = F.when((d > 0) & (n > 0), F.least(F.lit(0.6), 0.2 * n)).when(u, F.least(F.lit(0.5), 0.15 * n)).otherwise(0.0)
-    penalty = (u & ~c).cast("double") + F.least(F.lit(1.0), 0.35 * d) + extra
-    checked = (F.col("a") != "") & (F.col("b") != "")
-    return rows.select("doc_id", F.round(F.when(checked, F.greatest(F.lit(0.0), 1 - penalty)).otherwise(0.0), 9).alias("reward"))
-
-
 @query(
     f"""WITH d AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'retake' WHEN quality = 0 THEN 'cautious' ELSE 'continue' END AS expected,
         CASE WHEN {_any(AGAIN)} THEN 'retake' WHEN {_any(("$$", "|"))} THEN 'cautious' ELSE 'continue' END AS predicted FROM labels JOIN documents USING (doc_id)),
@@ -470,63 +399,6 @@ def gate_reward_matrix(spark, sf):
 # Payloads and judgments.
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k, CASE WHEN try_cast(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'Missing or empty field: k' ELSE '' END AS errors FROM events")
-def json_payload_validate(spark, sf):
-    k = jsonx.parse(F.col("props"), "k int")["k"]
-    return _t(spark, sf, "events").select("event_id", k.alias("k"), F.when(k.isNull(), "Missing or empty field: k").otherwise("").alias("errors"))
-
-
-def _payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """An analysis built around each document, whose whole text is dealt to the fields in equal parts; some lack fields.
-
-    A field whose part is blank has the whole text.
-    """
-    part = lambda k, n: F.substr("text", F.floor(F.length("text") * k / n).cast("int") + 1, (F.floor(F.length("text") * (k + 1) / n) - F.floor(F.length("text") * k / n)).cast("int"))
-    dealt = lambda k, n: F.when(part(k, n).rlike(r"[^ \n\t\r\u00a0]"), part(k, n)).otherwise(F.col("text"))
-    field = lambda k: F.when(F.col("doc_id") % 7 == k, F.lit("  ")).otherwise(dealt(k, len(L.LINE_FIELDS)))
-    line = F.struct(*[field(k).alias(f) for k, f in enumerate(L.LINE_FIELDS)])
-    lines = F.create_map(*[x for n in L.REQUIRED_LINES for x in (F.lit(n), line)])
-    analysis = F.struct(lines.alias("lines"), *[dealt(k, len(L.REPORT_FIELDS)).alias(f) for k, f in enumerate(L.REPORT_FIELDS)])
-    return _t(spark, sf, "documents").select("doc_id", F.to_json(F.struct(analysis.alias(L.TOP_KEY))).alias("raw"))
-
-
-@query(
-    f"""WITH d AS (SELECT doc_id, [{", ".join(f"CASE WHEN doc_id % 7 = {k} THEN '{f}' END" for k, f in enumerate(L.LINE_FIELDS))}] AS f,
-        trim(substr(text, 1, 40), ' ' || chr(10) || chr(9) || chr(13) || chr(160)) = '' AS hollow FROM documents)
-    SELECT doc_id, (CASE WHEN hollow THEN 33 ELSE 4 * len(list_filter(f, lambda x: x IS NOT NULL)) END)::INT AS n_errors FROM d"""
-)
-def built_payload_validate(spark, sf):
-    found = jsonx.extract(_payloads(spark, sf), "raw")
-    return found.select("doc_id", F.size(jsonx.payload_errors(jsonx.parse(F.col("payload")))).alias("n_errors"))
-
-
-@query()
-def payload_canonical(spark, sf):
-    return _payloads(spark, sf).select("doc_id", jsonx.canonical(jsonx.parse(F.col("raw"))).alias("canonical"))
-
-
-@query(
-    """WITH d AS (SELECT doc_id, trim(substr(text, 1, 40), ' ' || chr(10) || chr(9) || chr(13) || chr(160)) = '' AS hollow FROM documents)
-    SELECT doc_id, 0.0::DOUBLE AS json_schema_reward, round(CASE WHEN hollow THEN 0 ELSE 24 / 28::DOUBLE END, 9)::DOUBLE AS line_field_coverage_reward,
-           (CASE WHEN hollow THEN 0 ELSE 1 END)::DOUBLE AS report_field_coverage_reward FROM d"""
-)
-def structured_rewards(spark, sf):
-    """Every line of the payloads lacks one of its seven fields."""
-    names = ["json_schema_reward", "line_field_coverage_reward", "report_field_coverage_reward"]
-    rows = _payloads(spark, sf).select("doc_id", jsonx.parse(F.col("raw")).alias("p"))
-    found = rows.select("doc_id", *rewards.STRUCTURED_REWARDS.columns(names, parsed=F.col("p")))
-    return found.select("doc_id", *[F.round(n, 9).alias(n) for n in names])
-
-
-@query()
-def report_rewards(spark, sf):
-    """All rewards of reports, each document against the payload built around it."""
-    rows = _payloads(spark, sf).join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    rows = rows.select("doc_id", "text", jsonx.parse(F.col("raw")).alias("p"))
-    rows = rows.withColumn("lines", rewards.facts(F.col("text"), F.col("p")))
-    return rows.select("doc_id", *rewards.REPORT_REWARDS.columns(completion=F.col("text"), parsed=F.col("p"), lines=F.col("lines")))
-
-
 _JUDGED = """j AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'reject' WHEN l_returnflag = 'A' THEN 'accept_cautious' ELSE 'accept' END AS decision,
     l_quantity / 10 AS vg, l_discount * 50 AS uh, l_tax * 60 AS lc, 4.0::DOUBLE AS sq FROM lineitem)"""
 
