@@ -61,8 +61,7 @@ def first_object(text: str | None) -> str | None:
 def extract(df: DataFrame, text_col: str, out: str = "payload") -> DataFrame:
     """Add the first JSON object of each text, or null.
 
-    Python sees only the rows whose cleaned text Spark cannot take as one object: a projection runs its
-    function on every row, so the two kinds are split and united.
+    Python sees only the texts that Spark, after cleaning, cannot take as one object; for the others it gets a null.
     """
 
     @F.pandas_udf("string")
@@ -70,12 +69,11 @@ def extract(df: DataFrame, text_col: str, out: str = "payload") -> DataFrame:
         for texts in batches:
             yield texts.map(first_object)
 
-    cleaned = df.withColumn("_c", clean(F.col(text_col)))
-    plain = F.coalesce(F.col("_c").rlike(r"(?s)\A\{.*\}\z") & F.try_parse_json("_c").isNotNull(), F.lit(False))
-    cleaned = cleaned.withColumn("_plain", plain)
-    easy = cleaned.where("_plain").withColumn(out, F.col("_c"))
-    hard = cleaned.where("NOT _plain").withColumn(out, search("_c"))
-    return easy.unionByName(hard).drop("_c", "_plain")
+    rows = df.select(F.struct("*").alias("row"), clean(F.col(text_col)).alias("c"))
+    plain = F.coalesce(F.col("c").rlike(r"(?s)\A\{.*\}\z") & F.try_parse_json("c").isNotNull(), F.lit(False))
+    rows = rows.withColumn("plain", plain).withColumn("found", search(F.when(~F.col("plain"), F.col("c"))))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c != out]
+    return rows.select(*kept, F.when(F.col("plain"), F.col("c")).otherwise(F.col("found")).alias(out))
 
 
 def parse(payload: Column, schema: str = PAYLOAD) -> Column:
@@ -133,6 +131,30 @@ def flatten_text(parsed: Column) -> Column:
     return F.array_join(F.filter(F.array(*[strip(v) for v in values]), lambda v: v != ""), "\n")
 
 
+def flatten_any(raw: Column) -> Column:
+    """All strings of a JSON text of any nesting that are not blank, stripped, depth first, joined by line feeds; null if it does not parse."""
+
+    def strings(node: object) -> Iterator[str]:
+        if isinstance(node, str):
+            yield node.strip()
+        elif isinstance(node, (dict, list)):
+            for x in node.values() if isinstance(node, dict) else node:
+                yield from strings(x)
+
+    def flat(text: str | None) -> str | None:
+        try:
+            return None if text is None else "\n".join(s for s in strings(json.loads(text)) if s)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(flat)
+
+    return run(raw)
+
+
 def line_text(parsed: Column, name: str, with_name: bool = True) -> Column:
     """A line's known fields, with its name first; empty if the line is absent."""
     line = _lines(parsed)[name]

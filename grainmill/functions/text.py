@@ -185,3 +185,31 @@ def display_sections(text: Column, headings: Sequence[str], core: Sequence[str],
 
     parts = F.filter(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), r"(?U)\n\s*\n"), strip), lambda p: p != "")
     return F.transform(parts, one)
+
+
+def should_emit(index: Column, total: Column, every: int) -> Column:
+    """First, last, and every so many."""
+    at = (index == 1) | (index == total)
+    return at | (index % every == 0) if every > 0 else at
+
+
+def progress(name: Column, index: Column, total: Column, elapsed: Column) -> Column:
+    """One line: place, share, time gone and left, speed; ``elapsed`` in seconds."""
+
+    def line(s: Column) -> Column:
+        left = F.when(s["rate"] > 0, (total - index) / s["rate"]).otherwise(0.0)
+        return F.format_string("[%s] %d/%d (%.1f%%) elapsed=%s eta=%s speed=%.2f samples/s", name, index, total, 100.0 * index / total, duration(s["spent"]), duration(left), s["rate"])
+
+    spent = F.greatest(elapsed, F.lit(1e-6))
+    return let(F.struct(spent.alias("spent"), (index / spent).alias("rate")), line)
+
+
+def model_name(path: Column) -> Column:
+    """Last component of a path; of a checkpoint with its parent before it."""
+    parts = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/")
+    return let(parts, lambda p: F.when(F.element_at(p, -1).startswith("checkpoint-"), F.concat_ws("_", F.try_element_at(p, F.lit(-2)), F.element_at(p, -1))).otherwise(F.element_at(p, -1)))
+
+
+def or_default(value: Column, default: str | Column | None) -> Column:
+    """The default for null and empty."""
+    return F.coalesce(F.nullif(value, F.lit("")), default if isinstance(default, Column) else F.lit(default))

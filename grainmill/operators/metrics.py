@@ -92,9 +92,9 @@ def best_epoch(df: DataFrame, epoch: str, score: str, patience: int) -> DataFram
     return marked.withColumn("_stop", stopped).where("_stop = 0 AND _better").orderBy(F.desc(epoch)).limit(1).select(epoch, score)
 
 
-def focal_loss(logits: Column, label: Column, gamma: float = 2.0) -> Column:
-    """-(1 - p)^gamma log p of the true class."""
-    from grainmill.functions.gates import softmax
-    from grainmill.functions.lang import let
-
-    return let(F.get(softmax(logits), label), lambda p: -F.pow(1 - p, F.lit(gamma)) * F.log(p))
+def binary_report(df: DataFrame, truth: str, predicted: str, positive: object = 1) -> DataFrame:
+    """One row: ``acc``, ``precision``, ``recall`` and ``f1`` of the positive class; 0 where a divisor is."""
+    t, p = F.col(truth) == F.lit(positive), F.col(predicted) == F.lit(positive)
+    counts = df.agg(F.count_if(t & p).alias("h"), F.count_if(t).alias("t"), F.count_if(p).alias("p"), F.count_if(F.col(truth) == F.col(predicted)).alias("e"), F.count("*").alias("n"))
+    precision, recall = ratio(F.col("h"), F.col("p")), ratio(F.col("h"), F.col("t"))
+    return counts.select(ratio(F.col("e"), F.col("n")).alias("acc"), precision.alias("precision"), recall.alias("recall"), ratio(2 * F.col("h"), F.col("t") + F.col("p")).alias("f1"))

@@ -155,7 +155,18 @@ def collate(df: DataFrame, batch: str, prompt: str, response: str, pad_id: int =
     return out.withColumn("attention_mask", attention_mask(F.col("input_ids"), pad_id)).drop("_width")
 
 
-def stack_sides(df: DataFrame, chosen: str, rejected: str, keys: list[str]) -> DataFrame:
-    """Chosen rows, then rejected ones, as ``side`` and ``ids``."""
-    one = lambda c: df.select(*keys, F.lit(c).alias("side"), F.col(c).alias("ids"))
-    return one(chosen).unionAll(one(rejected))
+def stack_sides(df: DataFrame, batch: str, prompt: str, chosen: str, rejected: str, keys: list[str], pad_id: int = 0) -> DataFrame:
+    """Chosen rows, then rejected ones, as ``side``, ``prompt``, ``ids`` and ``attention_mask``; both sides padded to the longest of their batch."""
+    widest = F.max(F.greatest(F.size(chosen), F.size(rejected))).over(Window.partitionBy(batch))
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("ids")) for c in (chosen, rejected)])
+    rows = df.select(*keys, F.col(batch).alias(batch), F.col(prompt).alias("prompt"), widest.alias("_width"), F.posexplode(sides).alias("_at", "_side"))
+    ids = F.col("_side.ids")
+    mask = pad(F.transform(ids, lambda _: F.lit(1)), F.col("_width"), 0)
+    return rows.select(*keys, batch, F.col("_side.side").alias("side"), "prompt", pad(ids, F.col("_width"), pad_id).alias("ids"), mask.alias("attention_mask"))
+
+
+def ask(history: Column, question: Column, report: Column, answer: Column, without_report: str = "请先生成一份手相报告，再继续追问。") -> Column:
+    """The history, an array of ``question`` and ``answer``, after one more question; a blank one changes nothing."""
+    told = F.when(F.coalesce(report, F.lit("")) == "", F.lit(without_report)).otherwise(answer)
+    before = F.coalesce(history, F.array().cast("array<struct<question:string,answer:string>>"))
+    return F.when(blank(question), before).otherwise(F.concat(before, F.array(F.struct(question.alias("question"), told.alias("answer")))))

@@ -113,3 +113,18 @@ def head(df: DataFrame, order: str, limit: int | None) -> DataFrame:
 def level_counts(df: DataFrame, level: str, score: str) -> DataFrame:
     """Rows and mean score by level."""
     return df.groupBy(level).agg(F.count("*").alias("rows"), F.avg(score).alias("mean_score"))
+
+
+def preview(df: DataFrame, order: Sequence[Column | str], columns: Sequence[str], limit: int = 20) -> DataFrame:
+    """One row with ``preview``: the first rows as structs, for a summary. The array is as long as the limit."""
+    first = df.orderBy(*order).limit(limit).select(*columns).withColumn("_at", F.monotonically_increasing_id())
+    rows = F.array_sort(F.collect_list(F.struct("_at", F.struct(*columns).alias("row"))))
+    return first.agg(F.transform(rows, lambda r: r["row"]).alias("preview"))
+
+
+def without_terms(df: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
+    """Rows whose key contains none of the terms; a null key stays."""
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | F.col(key).contains(t)
+    return df.where(~F.coalesce(hit, F.lit(False)))

@@ -14,6 +14,7 @@ from grainmill import lexicons as L
 from grainmill.functions import gates, jsonx, rewards, text
 from grainmill.operators import genlog, metrics, quality, records, selection, splits
 from grainmill.operators.ranking import floor_quantiles
+from grainmill.queries_reports import _WS, _strip
 from grainmill.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from grainmill.registry import table as _t
 
@@ -238,7 +239,17 @@ def challenge_score_top(spark, sf):
     return out.select("doc_id", "source", "req", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CHALLENGE}, lv AS (SELECT list(DISTINCT req ORDER BY req DESC) AS ls FROM ql WHERE req >= 1),
+    st AS (SELECT 0 AS turn, 0 AS idle, []::STRUCT(id BIGINT, c VARCHAR)[] AS picks
+        UNION ALL
+        SELECT turn + 1, CASE WHEN p IS NULL THEN idle + 1 ELSE 0 END, CASE WHEN p IS NULL THEN picks ELSE list_append(picks, p) END FROM (
+            SELECT turn, idle, picks, arg_max({{'id': doc_id, 'c': source}}, row(score, hits, doc_id)) FILTER (req = ls[turn % len(ls) + 1]
+                AND NOT list_contains(list_transform(picks, lambda x: x.id), doc_id) AND len(list_filter(picks, lambda x: x.c IS NOT DISTINCT FROM source)) < 3) AS p
+            FROM st, lv, ql WHERE len(picks) < 40 AND idle < len(ls) GROUP BY turn, idle, picks)),
+    done AS (SELECT picks FROM st ORDER BY turn DESC LIMIT 1), k AS (SELECT unnest(picks) AS p, unnest(range(len(picks))) AS pick FROM done)
+    SELECT doc_id, source, req, pick::INT AS pick FROM ql JOIN k ON k.p.id = doc_id"""
+)
 def challenge_stratified(spark, sf):
     rows = _challenge(spark, sf)
     return selection.stratified_exact(rows, "doc_id", "req", "source", [F.desc("score"), F.desc("hits"), F.desc("doc_id")], 3, 40, 1).select("doc_id", "source", "req", "pick")
@@ -303,18 +314,21 @@ def report_mode_rewrite(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'),
-    q AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, (length(text) + length(t2))::INT AS n_ids, length(text)::INT AS n_masked FROM q WHERE role = 'user' AND r2 = 'assistant'"""
+    """WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, text FROM conversations WHERE role <> 'system'),
+    n AS (SELECT conv_id, count(*) // 2 AS pairs FROM p GROUP BY conv_id)
+    SELECT a.conv_id, (a.i // 2)::INT AS pair, (length(a.text) + length(b.text))::INT AS n_ids, length(a.text)::INT AS n_masked
+    FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.i = a.i + 1 AND a.i % 2 = 0 JOIN n ON n.conv_id = a.conv_id"""
 )
 def turn_pairs_label_mask(spark, sf):
+    """Turns in pairs; the last of an odd number has no partner and is left out beforehand."""
     turns = _t(spark, sf, "conversations").where("role <> 'system'")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = turns.withColumns({"r2": F.lead("role").over(w), "t2": F.lead("text").over(w)}).where("role = 'user' AND r2 = 'assistant'")
+    record = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))  # a conversation is one record of the domain
+    pairs = records.turn_pairs(F.slice("c", F.lit(1), F.size("c") - F.size("c") % 2))
+    pairs = record.where(F.size("c") > 1).select("conv_id", F.posexplode(pairs).alias("pair", "p"))
     ids = lambda c: F.transform(F.split(c, ""), F.ascii)  # noqa: E731  a token a character
-    pairs = pairs.select("conv_id", "turn", ids(F.col("text")).alias("p"), ids(F.col("t2")).alias("r"))
+    pairs = pairs.select("conv_id", "pair", ids(F.col("p.a.text")).alias("p"), ids(F.col("p.b.text")).alias("r"))
     masked = F.size(F.filter(records.masked_labels(F.col("p"), F.col("r")), lambda x: x == L.IGNORE_INDEX))
-    return pairs.select("conv_id", "turn", F.size(records.input_ids(F.col("p"), F.col("r"))).alias("n_ids"), masked.alias("n_masked"))
+    return pairs.select("conv_id", "pair", F.size(records.input_ids(F.col("p"), F.col("r"))).alias("n_ids"), masked.alias("n_masked"))
 
 
 @query(
@@ -539,8 +553,21 @@ def stream_summary(spark, sf):
     return spark.read.parquet(out)
 
 
-@query()
+_PARAGRAPHS = """replace(replace(replace(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), chr(10) || 'The ', chr(10) || 'The: '), chr(10) || 'And ', chr(10) || '2、 And：'), chr(10) || 'Of the', chr(10) || '12. In' || chr(10) || chr(10) || 'Of the')"""
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_strip(_PARAGRAPHS)}, '
+{_WS}*
+'), lambda x: regexp_replace({_strip("x")}, '^{_WS}*(?:[一二三四五六七八九十]+、|[0-9]+[.、]){_WS}*', '')), lambda x: x <> '') AS parts FROM documents),
+    p AS (SELECT doc_id, unnest(range(len(parts)))::INT AS place, unnest(parts) AS x FROM d),
+    t AS (SELECT *, {" ".join(f"CASE WHEN x = '{h}' OR starts_with(x, '{h}：') OR starts_with(x, '{h}:') THEN '{h}' ELSE" for h in ("The", "And", "In"))} '' {"END " * 3} AS title FROM p)
+    SELECT doc_id, place, title, CASE title WHEN 'The' THEN 'core' WHEN 'And' THEN 'energy' ELSE 'guidance' END AS module,
+           length(CASE WHEN title = '' THEN x WHEN x = title THEN '' ELSE {_strip("substr(x, length(title) + 2)")} END)::INT AS n_body FROM t"""
+)
 def display_sections(spark, sf):
-    parts = text.display_sections(F.regexp_replace("text", r"\n", "\n\n"), ("The", "And", "In"), ("The",), ("And",))
+    paragraphs = F.replace(F.replace("text", F.lit(". "), F.lit(".\n \n")), F.lit("\nThe "), F.lit("\nThe: "))
+    paragraphs = F.replace(F.replace(paragraphs, F.lit("\nAnd "), F.lit("\n2、 And：")), F.lit("\nOf the"), F.lit("\n12. In\n\nOf the"))
+    parts = text.display_sections(paragraphs, ("The", "And", "In"), ("The",), ("And",))
     rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("place", "part"))
     return rows.select("doc_id", "place", "part.title", "part.module", F.length("part.body").alias("n_body"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.text import stem
+from grainmill.functions.lang import let
+from grainmill.functions.text import stem, strip
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 
@@ -19,9 +20,12 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file of one object a line; blank lines are skipped, others must parse."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def read_json_lines(spark: SparkSession, path: str, schema: str, some: bool = False) -> DataFrame:
+    """A file of one object a line; blank lines are skipped, others must parse. With ``some`` a file without rows is an error."""
+    found = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if some and found.isEmpty():
+        raise ValueError(f"no records in {path}")
+    return found
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,6 +41,17 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", F.regexp_replace(F.regexp_replace(below, r"\.[^./]*$", ""), "/", "_").alias("id"), "content")
 
 
+def load_records(spark: SparkSession, manifest: str | None = None, folder: str | None = None, schema: str = "id string, image string", limit: int | None = None) -> DataFrame:
+    """Rows of the manifest if there is one, or the images below the folder by path; the first ``limit`` of them, in input order."""
+    if manifest is None and folder is None:
+        raise ValueError("neither a manifest nor a folder")
+    if manifest is not None:
+        found = read_manifest(spark, manifest, schema)
+        return found if limit is None else with_order(found).orderBy("_ord").limit(limit).drop("_ord")
+    found = scan_images(spark, folder).select("id", F.col("path").alias("image"))
+    return found if limit is None else found.orderBy("image").limit(limit)
+
+
 def with_order(df: DataFrame) -> DataFrame:
     """Add ``_ord``: ids ascending in input order, to be added before any shuffle."""
     return df.withColumn("_ord", F.monotonically_increasing_id())
@@ -55,6 +70,21 @@ def resolve(path: Column, folder: str) -> Column:
     return F.when(path.startswith("/") | is_remote(path), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
 
 
+def resolve_record(path: Column, folder: str | None = None, manifest: str | None = None) -> Column:
+    """As :func:`resolve`, below the folder if there is one, else beside the manifest; without either the path stays."""
+    base = folder if folder is not None else manifest.rpartition("/")[0] if manifest is not None else None
+    return path if base is None else resolve(path, base)
+
+
+def resolve_existing(df: DataFrame, path: str, folder: str, files: DataFrame) -> DataFrame:
+    """Paths that are among the ``path`` of ``files``, or that begin with http, as they are; others below the folder."""
+    here = files.select(F.col("path").alias("_file")).distinct()
+    joined = df.join(here, F.col(path) == F.col("_file"), "left")
+    stays = F.col("_file").isNotNull() | F.col(path).startswith("http")
+    below = F.when(F.col(path).startswith("/"), F.col(path)).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), F.col(path)))
+    return joined.withColumn(path, F.when(stays, F.col(path)).otherwise(below)).drop("_file")
+
+
 def is_video(path: Column) -> Column:
     return F.lower(path).rlike(r"\.(mp4|avi|mkv|mov|wmv|flv|webm|mpeg)$")
 
@@ -74,9 +104,17 @@ def data_url(path: Column, content: Column) -> Column:
 
 
 def answer_text(response: Column) -> Column:
-    """First choice's message: a struct field ``choices`` of ``message.content``, an array of ``type`` and ``text``."""
-    content = F.try_element_at(response["choices"], F.lit(1))["message"]["content"]
-    return F.array_join(F.transform(F.filter(content, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")
+    """Text of the first choice's message in a response's JSON; null if it has none.
+
+    The content is a string, taken as it is, or an array of which the parts of type text count, stripped, by line.
+    """
+    def told(content: Column) -> Column:
+        value = F.try_variant_get(content, "$", "string")
+        parts = F.from_json(value, "array<struct<type:string,text:string>>")
+        texts = F.filter(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: strip(p["text"])), lambda t: t != "")
+        return F.when(F.schema_of_variant(content) == "STRING", value).otherwise(F.nullif(F.array_join(texts, "\n"), F.lit("")))
+
+    return let(F.try_variant_get(F.try_parse_json(response), "$.choices[0].message.content", "variant"), told)
 
 
 def image_statistics(raster: np.ndarray) -> tuple[float, float, float, float]:
