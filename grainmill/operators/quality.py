@@ -10,42 +10,67 @@ from pyspark.sql.window import Window
 
 from grainmill import scratch
 from grainmill.lexicons import CurationLimits
-from grainmill.operators.ranking import cume_dist, floor_quantiles
+from grainmill.operators.ranking import cume_dist, floor_quantiles, value_counts
 
 REASONS = ("too_dark", "too_bright", "below_quality_floor", "below_sharpness_floor", "cluster_quota_exceeded", "cluster_relative_quality_low")
 
 
-def score(df: DataFrame, sharpness: str = "sharpness", contrast: str = "contrast", entropy: str = "entropy", brightness: str = "brightness") -> DataFrame:
-    """Add ``quality_score``: ranks of three measures over all rows, less for brightness far from the middle."""
-    ranked = cume_dist(df, {sharpness: "_rs", contrast: "_rc", entropy: "_re"})
+def score(df: DataFrame, sharpness: str = "sharpness", contrast: str = "contrast", entropy: str = "entropy", brightness: str = "brightness", counts: DataFrame | None = None) -> DataFrame:
+    """Add ``quality_score``: ranks of three measures over all rows, less for brightness far from the middle.
+
+    ``counts`` are the :func:`value_counts` of sharpness, contrast and entropy, if they are there.
+    """
+    ranked = cume_dist(df, {sharpness: "_rs", contrast: "_rc", entropy: "_re"}, counts)
     value = 0.60 * F.col("_rs") + 0.25 * F.col("_rc") + 0.15 * F.col("_re") - 0.12 * F.least(F.lit(1.0), F.abs(F.col(brightness) - 128.0) / 128.0)
     return ranked.withColumn("quality_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_rs", "_rc", "_re")
 
 
-def curate(df: DataFrame, ties: Sequence[str], cluster: str = "cluster_key", sharpness: str = "sharpness", contrast: str = "contrast", brightness: str = "brightness", limits: CurationLimits = CurationLimits(), **measures: str) -> DataFrame:
+def curate(
+    df: DataFrame,
+    ties: Sequence[str],
+    cluster: str = "cluster_key",
+    sharpness: str = "sharpness",
+    contrast: str = "contrast",
+    entropy: str = "entropy",
+    brightness: str = "brightness",
+    limits: CurationLimits = CurationLimits(),
+) -> DataFrame:
     """Add ``quality_score``, ``quality_bucket``, ``reject_reasons`` (in fixed order) and ``cluster_rank``.
 
-    ``ties`` orders rows of a cluster whose score, sharpness and contrast are equal.
+    ``ties`` orders rows of a cluster whose score, sharpness and contrast are equal. A cluster's first rows, as many as the quota, come from a
+    rank that Spark limits before its shuffle; all other rows need only the best score and whether they are among them, so no task sorts a large cluster.
+    Rows equal in all of these are ranked as they come.
     """
-    scored = scratch.materialize(score(df, sharpness, contrast, brightness=brightness, **measures), "scored")
+    counts = value_counts(df, [sharpness, contrast, entropy])
+    scored = score(df, sharpness, contrast, entropy, brightness, counts).withColumn("_row", F.monotonically_increasing_id())
+    scored = scratch.materialize(scored, "scored")
     floor = floor_quantiles(scored, "quality_score", [limits.quality_quantile])[limits.quality_quantile]
-    sharp = floor_quantiles(scored, sharpness, [limits.sharpness_quantile])[limits.sharpness_quantile]
-    order = [F.desc("quality_score"), F.desc(sharpness), F.desc(contrast), *ties]
-    within = Window.partitionBy(cluster).orderBy(*order)
-    ranked = scored.withColumns({"_i": F.row_number().over(within) - 1, "_best": F.first("quality_score").over(within)})
-    tests = (
+    sharp = floor_quantiles(df, sharpness, [limits.sharpness_quantile], counts)[limits.sharpness_quantile]
+    order = [F.desc("quality_score"), F.desc(sharpness), F.desc(contrast), *ties, "_row"]
+    first = scored.withColumn("_i", F.row_number().over(Window.partitionBy(cluster).orderBy(*order))).where(F.col("_i") <= limits.max_per_cluster)
+    own = (
         F.col(brightness) < limits.min_brightness,
         F.col(brightness) > limits.max_brightness,
         F.col("quality_score") < F.lit(floor),
         F.col(sharpness) < F.lit(sharp),
-        F.col("_i") >= limits.max_per_cluster,
-        (F.col("_i") > 0) & (F.col("quality_score") < F.col("_best") * limits.secondary_ratio),
     )
+    fails = F.lit(False)
+    for t in own:
+        fails = fails | F.coalesce(t, F.lit(False))
+    heads = first.groupBy(cluster).agg(
+        F.max_by("quality_score", -F.col("_i")).alias("_best"),
+        F.array_sort(F.collect_list(F.struct((F.col("_i") - 1).alias("i"), F.col("_row").alias("row"), fails.alias("fails"), F.col("quality_score").alias("q")))).alias("_heads"),
+    )
+    ranked = scored.join(heads, scored[cluster].eqNullSafe(heads[cluster])).drop(heads[cluster])
+    behind = lambda q: F.coalesce(q < F.col("_best") * limits.secondary_ratio, F.lit(False))
+    at = F.array_position(F.transform("_heads", lambda h: h["row"]), F.col("_row"))
+    ranked = ranked.withColumn("_i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)))
+    tests = (*own, F.col("_i") >= limits.max_per_cluster, (F.col("_i") > 0) & behind(F.col("quality_score")))
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)]))
     ranked = ranked.withColumn("reject_reasons", reasons)
     clean = F.size("reject_reasons") == 0
-    kept = F.sum(clean.cast("int")).over(within)
-    return ranked.withColumns({"quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, kept.cast("int"))}).drop("_i", "_best")
+    kept = F.size(F.filter("_heads", lambda h: (h["i"] <= F.col("_i")) & ~h["fails"] & ~((h["i"] > 0) & behind(h["q"]))))
+    return ranked.withColumns({"quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, kept)}).drop("_i", "_row", "_best", "_heads")
 
 
 def reason_counts(df: DataFrame, reasons: str = "reject_reasons", none: str | None = None) -> DataFrame:

@@ -59,34 +59,38 @@ def running_total_by_hash(df: DataFrame, part: str, hash_col: str, tie: str, val
     return kept.select(*df.columns, (total + F.col("_w")).alias(out))
 
 
-def _value_counts(df: DataFrame, col: str) -> DataFrame:
-    """``value``, its ``n`` rows, and ``before``: rows with a smaller value. Nulls are left out."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    return running_total(counts, ["value"], {"before": F.col("n")}, "values")
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column`` (its place in ``cols``), ``value``, its ``n`` rows, ``before``: rows of the column with a smaller value, and ``total``. Nulls are left out.
+
+    Columns of one type, all in one pass; a written table.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(c).alias("value")) for k, c in enumerate(cols)]))
+    counts = df.select(each.alias("e")).select("e.column", "e.value").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = scratch.materialize(running_total(counts, ["column", "value"], {"at": F.col("n")}, "values"), "value-counts")
+    first = counts.groupBy("column").agg(F.min("at").alias("first"), F.sum("n").alias("total"))
+    return counts.join(F.broadcast(first), "column").select("column", "value", "n", (F.col("at") - F.col("first")).alias("before"), "total")  # a row a column
 
 
-def cume_dist(df: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """Add for each ``{column: name}`` the share of rows with the same or a smaller value.
+def cume_dist(df: DataFrame, cols: dict[str, str], counts: DataFrame | None = None) -> DataFrame:
+    """Add for each ``{column: name}``, columns of one type, the share of rows with the same or a smaller value.
 
     As the window function without a partition, but no task sees more than a range of the distinct values;
-    the values come back by an equality join. Null stays null.
+    the values come back by an equality join. Null stays null. ``counts`` are the :func:`value_counts` of these columns, if they are there.
     """
-    out = df
-    for col, name in cols.items():
-        counts = scratch.materialize(_value_counts(df, col), "cume-dist")
-        total = counts.agg(F.sum("n")).first()[0] or 1
-        shares = counts.select(F.col("value").alias("_value"), ((F.col("before") + F.col("n")) / F.lit(total)).alias(name))
+    out, counts = df, value_counts(df, list(cols)) if counts is None else counts
+    for k, (col, name) in enumerate(cols.items()):
+        shares = counts.where(F.col("column") == k).select(F.col("value").alias("_value"), ((F.col("before") + F.col("n")) / F.col("total")).alias(name))
         out = out.join(shares, F.col(col) == F.col("_value"), "left").drop("_value")
     return out
 
 
-def floor_quantiles(df: DataFrame, col: str, quantiles: Sequence[float]) -> dict[float, float | None]:
-    """The element at place floor(q * (n - 1)) in ascending order, without interpolation; None without rows."""
-    counts = scratch.materialize(_value_counts(df, col), "quantiles")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    places = {q: int(q * (total - 1)) for q in quantiles}
-    if not total:
-        return dict.fromkeys(quantiles)
-    hit = [F.max(F.when((F.col("before") <= p) & (F.col("before") + F.col("n") > p), F.col("value"))).alias(f"q{k}") for k, p in enumerate(places.values())]
+def floor_quantiles(df: DataFrame, col: str, quantiles: Sequence[float], counts: DataFrame | None = None, place: int = 0) -> dict[float, float | None]:
+    """The element at place floor(q * (n - 1)) in ascending order, without interpolation; None without rows.
+
+    ``counts`` are :func:`value_counts` in which the column has that ``place``, if they are there.
+    """
+    counts = (value_counts(df, [col]) if counts is None else counts).where(F.col("column") == place)
+    at = lambda q: F.floor(F.lit(q) * (F.col("total") - 1))
+    hit = [F.max(F.when((F.col("before") <= at(q)) & (F.col("before") + F.col("n") > at(q)), F.col("value"))).alias(f"q{k}") for k, q in enumerate(quantiles)]
     row = counts.agg(*hit).first()
-    return {q: row[k] for k, q in enumerate(places)}
+    return {q: row[k] for k, q in enumerate(quantiles)}
