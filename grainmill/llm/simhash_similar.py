@@ -191,8 +191,11 @@ def near(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, subtre
         values, node, whole = values[order], node[order], raw.view("<u8")[order]
         apart = lambda i, j: np.bitwise_count(whole[i] ^ whole[j]).sum(1, dtype=np.int64)
         labels = simhash.trie_classes(values, depth, int(key[1]), int(key[2]), BAND_BUDGET, bits, lambda i, j: apart(i, j) <= most)
-        tied = np.flatnonzero(labels != np.arange(len(values)))
-        return pd.DataFrame({"a": node[tied], "b": node[labels[tied]]})
+        # The smallest node of a class stands for it, so that walks of other bands name the same one for the most part.
+        least = node.copy()
+        np.minimum.at(least, labels, node)
+        tied = np.flatnonzero(least[labels] != node)
+        return pd.DataFrame({"a": node[tied], "b": least[labels[tied]]})
 
     dealt = nodes.select("node", "sketch").mapInArrow(deal, "node long, sketch binary, band int, l long, r long")
     return dealt.groupBy("band", "l", "r").applyInPandas(walk, "a long, b long")
