@@ -7,8 +7,13 @@ import uuid
 import pyarrow.fs
 
 
+#: Schemes that Spark's file systems have other names for.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
 
 
 class Writer:

@@ -5,12 +5,13 @@ lower-cased and letters only. A linear machine's score of a text is then the mea
 words are scored once in a worker and looked up after. One-versus-rest linear support vector
 machines choose the family; within it, one-versus-one machines vote among its languages.
 
-The machines learn from a bounded sample, at most about ``per_language`` labelled texts of each language,
-chosen by a hash of the id; features are made by Spark tasks and only their vectors of ``DIM`` floats reach the driver.
+The machines learn from a bounded sample, at most about ``per_language`` labelled texts of each language and ``most_rows`` in all,
+chosen by a hash of the id; features are made by Spark tasks and only their vectors of ``DIM`` 4-byte floats reach the driver, 100 MB at most by default.
+Pairs of languages have a machine only within a family, so the machines are at most about 100 a family and one for each family.
 Prediction reads every whole text, and nothing but the text.
 
 Texts that are null or have no letter are ``und`` with score 0, as is everything when no row is labelled.
-Null labels teach nothing. Repeated rows get equal predictions; extra columns pass through. Ties go to
+Null labels teach nothing. Repeated rows get equal predictions; extra columns pass through under whatever name. Ties go to
 the language first in order. An empty table gives an empty result.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ISO 639-1 codes by family. Other labels form one family of their own.
+#: ISO 639-1 codes by family. Any other label is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
     "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
@@ -49,7 +50,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def family(lang: str) -> str:
-    return next((f for f, codes in FAMILIES.items() if lang.lower().partition("-")[0] in codes), "other")
+    return next((f for f, codes in FAMILIES.items() if lang.lower().partition("-")[0] in codes), f"={lang}")
 
 
 def text_words(text: str | None) -> list[str]:
@@ -82,12 +83,12 @@ def vector(text: str | None) -> np.ndarray | None:
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """A linear machine under squared hinge loss, by accelerated gradient descent from zero."""
     n = len(y)
-    x1 = np.hstack([x, np.full((n, 1), np.sqrt((x * x).sum(1).mean()))])
-    top = np.ones(x1.shape[1])
+    x1 = np.hstack([x, np.full((n, 1), np.sqrt((x * x).sum(1).mean()), x.dtype)])
+    top = np.ones(x1.shape[1], x.dtype)
     for _ in range(20):  # the largest singular value, by powers
         top = x1.T @ (x1 @ (top / np.linalg.norm(top)))
     step = 1 / (1 + 2.2 * cost * np.linalg.norm(top) / n)
-    w = v = np.zeros(x1.shape[1])
+    w = v = np.zeros(x1.shape[1], x.dtype)
     for k in range(rounds):
         gap = np.maximum(0, 1 - y * (x1 @ v))
         new = v - step * (v - 2 * cost / n * (x1.T @ (gap * y)))
@@ -116,8 +117,8 @@ class Model:
         jobs = [(of == f, np.ones(len(lang), bool)) for f in families] if len(families) > 1 else []
         pairs = [(a, b) for f in families for a, b in combinations([g for g in languages if family(g) == f], 2)]
         jobs += [(lang == a, (lang == a) | (lang == b)) for a, b in pairs]
-        found = [svm(x[rows] * scale, np.where(positive[rows], 1.0, -1.0)) for positive, rows in jobs]
-        weights = np.stack([w * scale for w, _ in found], 1) if found else np.zeros((DIM, 0))
+        found = [svm(x[rows] * x.dtype.type(scale), np.where(positive[rows], 1, -1).astype(x.dtype)) for positive, rows in jobs]
+        weights = np.stack([w.astype(float) * scale for w, _ in found], 1) if found else np.zeros((DIM, 0))
         return cls(languages, families, pairs, weights, np.array([b for _, b in found]))
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +205,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(True))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_languages: int = 500, seed: int = 5) -> Model:
-    """Fit on rows that are not held out and have a label, about ``per_language`` of each language at most.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_rows: int = 6000, most_languages: int = 500, seed: int = 5) -> Model:
+    """Fit on rows that are not held out and have a label, about ``per_language`` of each language and ``most_rows`` in all at most.
 
     Labels beyond the ``most_languages`` commonest are not learnt.
     """
@@ -213,7 +214,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(most_languages).collect()
     if not counts:
         return Model([], [], [], np.zeros((DIM, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[lang_col], min(1.0, per_language / r["n"]))])
+    most = min(per_language, most_rows / len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r[lang_col], min(1.0, most / r["n"]))])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = known.where(draw < F.coalesce(share[F.col(lang_col)], F.lit(0.0))).select(lang_col, text_col)
 
@@ -227,7 +229,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not rows.num_rows:
         return Model([], [], [], np.zeros((DIM, 0)), np.zeros(0))
     order = np.lexsort([np.array(rows["v"].to_pylist(), object), np.array(rows["lang"].to_pylist(), object)])  # tasks end in any order
-    x = np.stack([np.frombuffer(v.as_py(), "<f4") for v in rows["v"]]).astype(float)[order]
+    x = np.stack([np.frombuffer(v.as_py(), "<f4") for v in rows["v"]])[order]
     return Model.train(x, np.array(rows["lang"].to_pylist(), object)[order])
 
 
@@ -256,5 +258,5 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least_scor
     """
     if not model.languages:
         return docs
-    out = docs.withColumn("_p", predicted(model, F.col(text_col)))
-    return out.where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least_score)).drop("_p")
+    out = docs.select(F.struct("*").alias("row"), predicted(model, F.col(text_col)).alias("p"))
+    return out.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= least_score)).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -7,8 +7,8 @@ lower case and by their shape (``THAT!!`` has the shape ``A!``), divided by the
 words, and two of the text as a whole: its length and its share of distinct words. A word's share
 of the score does not depend on its neighbours, so words are scored once in a worker and looked up after.
 
-The model learns from a bounded sample, at most about ``sample_rows`` rated documents chosen by a hash of the id;
-prediction reads every whole text. Null and blank texts have features of their length alone. Null ratings teach nothing; where
+The model learns from a bounded sample, at most about ``sample_rows`` rated documents and ``sample_features`` features (8 bytes each) of theirs, chosen by a hash of the id;
+prediction reads every whole text. Other columns pass through under whatever name; ``expected_grade``, ``top_probability`` and ``kept`` are replaced. Null and blank texts have features of their length alone. Null ratings teach nothing; where
 none is given, every document gets the middle grade. Ratings of the same document all count. An empty
 table gives an empty result.
 """
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill import scratch
+
 DIM = 1 << 16
 WORDS_KEPT = 500_000
 _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1"))
@@ -138,13 +140,14 @@ class Scorer:
         return (total / sqrt(len(distinct)) if distinct else 0.0) + whole
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = 6000, seed: int = 9) -> Model:
-    """Fit on about ``sample_rows`` of the rated documents at most; ``ratings`` has the id and a grade from 0."""
-    rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, n_grades - 1)).select(id_col, F.col(grade_col).cast("int").alias("_grade"))
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = 6000, sample_features: int = 6_000_000, seed: int = 9) -> Model:
+    """Fit on a sample of the rated documents as the module says; ``ratings`` has the id and a grade from 0."""
+    rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, n_grades - 1)).select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
     n = rated.count()
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = rated.where(draw < F.lit(min(1.0, sample_rows / max(n, 1))))
-    sample = docs.select(id_col, text_col).join(chosen, id_col).select(id_col, "_grade", text_col)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    share = min(1.0, sample_rows / max(n, 1))
+    chosen = rated.where(draw < F.lit(share))
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +157,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"id {kind}, grade int, p binary, v binary").toArrow().sort_by([("id", "ascending"), ("grade", "ascending"), ("p", "ascending")])
+    made = scratch.materialize(sample.mapInArrow(run, f"id {kind}, grade int, p binary, v binary"), "rated-features")
+    size = (made.agg(F.sum(F.length("p"))).first()[0] or 0) / 4
+    rows = made.where(draw < F.lit(share * min(1.0, sample_features / max(size, 1)))).toArrow().sort_by([("id", "ascending"), ("grade", "ascending"), ("p", "ascending")])
     if not rows.num_rows:
         return Model(np.zeros(DIM), np.linspace(-1, 1, n_grades - 1) if n_grades > 2 else np.zeros(n_grades - 1))
     pairs = [(np.frombuffer(p.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for p, v in zip(rows["p"], rows["v"], strict=True)]
@@ -176,5 +181,6 @@ def graded(model: Model, text: Column) -> Column:
 
 def select(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with ``expected_grade``, ``top_probability`` and ``kept``: the top grade is at least that likely."""
-    out = docs.withColumn("_g", graded(model, F.col(text_col)))
-    return out.withColumns({"expected_grade": F.col("_g.expected_grade"), "top_probability": F.col("_g.top_probability"), "kept": F.col("_g.top_probability") >= least}).drop("_g")
+    out = docs.select(F.struct("*").alias("row"), graded(model, F.col(text_col)).alias("g"))
+    names = ("expected_grade", "top_probability", "kept")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], "g.expected_grade", "g.top_probability", (F.col("g.top_probability") >= least).alias("kept"))

@@ -1,9 +1,9 @@
 """WARC records in seekable Zstandard bundles.
 
-A bundle is a file of independent Zstandard frames, one record a frame, with a seek table in a skippable
-frame at its end: for each frame its compressed and its plain size. The record index maps a
-record's id to its bundle and to its frame, whose offset the seek table gives, so one record is read
-without its neighbours, and ordinary tools still decompress the whole bundle.
+A bundle is a file of independent Zstandard frames with a seek table in a skippable
+frame at its end: for each frame its compressed and its plain size. A frame groups records up to ``FRAME_BYTES`` of plain size, a larger record
+is a frame of its own. The record index maps a record's id to its bundle, its frame, whose place in the file the seek table gives, and its offset and length
+within the frame; so a record is read by decompressing one frame, and ordinary tools still decompress the whole bundle.
 
 Of records with equal payloads of at least ``least`` bytes, that with the largest id is a response and the
 others are revisits of it: they carry the HTTP head, whose Content-Length is that of the payload, but no
@@ -11,7 +11,8 @@ payload. Payloads are compared by SHA-1. Only ids and digests are grouped; the p
 dealt out once, by id, so a payload that a third of all pages share burdens no single task.
 
 Null payloads are empty, null URLs are left out of the record. Rows need distinct ids; rows without
-an id are written as responses of their own. An empty table gives no bundle and an empty result. Tasks
+an id are written as responses of their own, under a name that no id has. Very long payloads are held whole in one task. Columns other than those
+named are never read, so any names go. An empty table gives no bundle and an empty result. Tasks
 may run twice: each attempt writes files of its own names, and the index names those that count.
 """
 
@@ -32,10 +33,12 @@ from grainmill import scratch
 from grainmill.llm import files
 
 BUNDLE_BYTES = 64 << 20
+FRAME_BYTES = 256 << 10
 LEVEL = 3
 #: Fixed values of the seekable format: the skippable frame's and the seek table's magic numbers.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
+NO_ID = "<urn:no-page>"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -44,14 +47,14 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def record(record_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit, which leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{record_id}>",
+        f"WARC-Record-ID: {NO_ID if record_id is None else f'<urn:page:{record_id}>'}",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {' '.join(url.split())}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{digest32(payload)}",
@@ -75,21 +78,32 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 class BundleWriter:
-    """Appends records as frames, and the seek table on closing."""
+    """Gathers records in frames, appends those, and the seek table on closing."""
 
     def __init__(self, folder: str):
         self.file = files.Writer(folder, "bundle", ".warc.zst")
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         self.sizes: list[tuple[int, int]] = []
-
-    def add(self, data: bytes) -> int:
-        """Returns the number of the record's frame."""
-        frame = self.compressor.compress(data)
+        self.pending = bytearray()
+
+    def add(self, data: bytes) -> tuple[int, int]:
+        """Returns the number of the record's frame and its offset there."""
+        if self.pending and len(self.pending) + len(data) > FRAME_BYTES:
+            self.cut()
+        at = len(self.pending)
+        self.pending += data
+        return len(self.sizes), at
+
+    def cut(self) -> None:
+        """End the frame."""
+        frame = self.compressor.compress(bytes(self.pending))
         self.file.write(frame)
-        self.sizes.append((len(frame), len(data)))
-        return len(self.sizes) - 1
+        self.sizes.append((len(frame), len(self.pending)))
+        self.pending = bytearray()
 
     def close(self) -> str:
+        if self.pending:
+            self.cut()
         table = np.array(self.sizes, "<u4").reshape(-1, 2).tobytes()
         foot = np.array([len(self.sizes)], "<u4").tobytes() + b"\0" + np.array([SEEKABLE], "<u4").tobytes()
         self.file.write(np.array([SKIPPABLE, len(table) + len(foot)], "<u4").tobytes() + table + foot)
@@ -131,18 +145,19 @@ def originals(pages: DataFrame, id_col: str = "page_id", payload_col: str = "htm
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, folder: str | None = None) -> DataFrame:
-    """Write every page; returns the record index: ``id_col``, ``bundle``, ``frame``."""
+    """Write every page; returns the record index: ``id_col``, ``bundle``, ``frame``, and ``offset`` and ``length`` within the frame."""
     folder = folder or scratch.new_path(pages.sparkSession, "warc")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, keys, frames = None, [], []
+        out, keys, places = None, [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal out, keys, frames
+            nonlocal out, keys, places
             uri = out.close()
-            done = pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array([uri] * len(keys)), pa.array(frames, pa.int32())], ["key", "bundle", "frame"])
-            out, keys, frames = None, [], []
+            at = [pa.array(x, pa.int32()) for x in zip(*places, strict=True)]
+            done = pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array([uri] * len(keys)), *at], ["key", "bundle", "frame", "offset", "length"])
+            out, keys, places = None, [], []
             return done
 
         for batch in batches:
@@ -150,9 +165,10 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
             for k in range(batch.num_rows):
                 key, url, payload, refers_to = (batch.column(c)[k].as_py() for c in range(4))
                 out = out or BundleWriter(folder)
-                frames.append(out.add(record(str(key), url, (payload or "").encode(), None if refers_to is None else str(refers_to))))
+                data = record(None if key is None else str(key), url, (payload or "").encode(), refers_to)
+                places.append((*out.add(data), len(data)))
                 keys.append(key)
-                if out.file.size >= BUNDLE_BYTES:
+                if out.file.size + len(out.pending) >= BUNDLE_BYTES:
                     yield flush()
         if out:
             yield flush()
@@ -160,12 +176,12 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     roles = originals(pages, id_col, payload_col, least).withColumnRenamed(id_col, "_of")
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
     rows = rows.join(roles, F.col("key") == F.col("_of"), "left").select("key", "url", "payload", F.col("refers_to").cast("string"))
-    written = rows.mapInArrow(run, f"key {kind}, bundle string, frame int")
+    written = rows.mapInArrow(run, f"key {kind}, bundle string, frame int, offset int, length int")
     return scratch.materialize(written, "warc-index").withColumnRenamed("key", id_col)
 
 
 def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """What the archives say of each record of an index; one task reads a bundle, frame by frame.
+    """What the archives say of each record of an index; one task reads a bundle, each frame once.
 
     Columns: ``id_col``, ``payload_bytes`` and ``payload_digest`` (a response's from its payload, a revisit's
     from its head), ``record_type``, ``refers_to``.
@@ -175,10 +191,13 @@ def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
     def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         with BundleReader(rows["bundle"].iloc[0]) as bundle:
-            for n in rows["frame"].sort_values():
-                own, http, payload = parse(bundle.frame(n))
+            held, frame = -1, b""
+            for n, at, length in rows.sort_values(["frame", "offset"])[["frame", "offset", "length"]].itertuples(index=False):
+                if n != held:
+                    held, frame = n, bundle.frame(n)
+                own, http, payload = parse(frame[at : at + length])
                 response = own["WARC-Type"] == "response"
-                name = lambda field: own[field].removeprefix("<urn:page:").removesuffix(">")
+                name = lambda field: None if own[field] == NO_ID else own[field].removeprefix("<urn:page:").removesuffix(">")
                 out.append(
                     (
                         name("WARC-Record-ID"),
@@ -191,5 +210,4 @@ def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
         return pd.DataFrame(out, columns=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     found = index.groupBy("bundle").applyInPandas(run, "key string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    key = F.when(F.col("key") == "None", None).otherwise(F.col("key"))
-    return found.select(key.cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return found.select(F.col("key").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -226,18 +226,22 @@ def test_warc(spark):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first else ("revisit", last[data]))
     assert {r["record_type"] for r in warc.read(warc.write(pages, least=10)).where("payload_bytes < 10").collect()} == {"response"}
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+    named = spark.createDataFrame([("None", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    assert {(r["page_id"], r["payload_bytes"]) for r in warc.read(warc.write(named)).collect()} == {("None", 1), (None, 1)}
 
 
 def test_bundle_seeks_and_rolls(spark, monkeypatch):
     import zstandard
 
-    monkeypatch.setattr(warc, "BUNDLE_BYTES", 600)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 2500)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 1500)
     pages = spark.range(30).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.repeat(F.lit("ab"), F.col("id").cast("int")).alias("html")).coalesce(1)
     index = warc.write(pages).orderBy("page_id").collect()
     assert len({r["bundle"] for r in index}) > 1
     r = index[11]
+    assert len({(x["bundle"], x["frame"]) for x in index}) < 30 and any(x["offset"] > 0 for x in index)  # several records a frame
     with warc.BundleReader(r["bundle"]) as bundle:
-        own, http, payload = warc.parse(bundle.frame(r["frame"]))
+        own, http, payload = warc.parse(bundle.frame(r["frame"])[r["offset"] : r["offset"] + r["length"]])
         assert own["WARC-Record-ID"] == "<urn:page:11>" and payload == b"ab" * 11 and http["Content-Length"] == "22"
         whole = zstandard.ZstdDecompressor().stream_reader(bundle.file.read_at(bundle.file.size(), 0), read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == sum(x["bundle"] == r["bundle"] for x in index)
