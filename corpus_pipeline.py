@@ -15,8 +15,8 @@ from grainmill.session import reach_workers
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' cascade keeps."""
-    return quality_rules.Cascade.fit(docs).apply(docs)
+    """Documents that the rules' cascade keeps; short ones are not rejected for that alone."""
+    return quality_rules.Cascade.fit(docs, quality_rules.FILTER).apply(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
