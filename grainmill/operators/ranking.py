@@ -23,22 +23,24 @@ def running_total(df: DataFrame, order: Sequence[str], values: dict[str, Column
     ``order`` names columns of ``df`` that should tell rows apart. ``{"rank": lit(1)}`` gives ranks from 0.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = df.withColumns({f"_v{k}": F.expr(v) if isinstance(v, str) else v for k, v in enumerate(values.values())})
-    kept = kept.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    places = [f"o{k}" for k in range(len(order))]
+    added = [(F.expr(v) if isinstance(v, str) else v).alias(f"v{k}") for k, v in enumerate(values.values())]
+    kept = df.select(F.struct("*").alias("row"), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)], *added)
+    kept = kept.repartitionByRange(parts, *places).withColumn("range", F.spark_partition_id())
     kept = scratch.materialize(kept, label)
-    sums = kept.groupBy("_range").agg(*[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(values))])
-    ranges = Window.orderBy("_range").rowsBetween(*_BEFORE)  # one row a range
-    sums = sums.select("_range", *[F.coalesce(F.sum(f"_s{k}").over(ranges), F.lit(0)).alias(f"_b{k}") for k in range(len(values))])
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(*_BEFORE)
-    kept = kept.withColumns({f"_w{k}": F.coalesce(F.sum(f"_v{k}").over(within), F.lit(0)) for k in range(len(values))})
-    out = kept.join(sums, "_range")
-    return out.select(*df.columns, *[(F.col(f"_b{k}") + F.col(f"_w{k}")).alias(name) for k, name in enumerate(values)])
+    sums = kept.groupBy("range").agg(*[F.sum(f"v{k}").alias(f"s{k}") for k in range(len(values))])
+    ranges = Window.orderBy("range").rowsBetween(*_BEFORE)  # one row a range
+    sums = sums.select("range", *[F.coalesce(F.sum(f"s{k}").over(ranges), F.lit(0)).alias(f"b{k}") for k in range(len(values))])
+    within = Window.partitionBy("range").orderBy(*places).rowsBetween(*_BEFORE)
+    kept = kept.withColumns({f"w{k}": F.coalesce(F.sum(f"v{k}").over(within), F.lit(0)) for k in range(len(values))})
+    out = kept.join(sums, "range")
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns], *[(F.col(f"b{k}") + F.col(f"w{k}")).alias(name) for k, name in enumerate(values)])
 
 
 def running_total_by_hash(df: DataFrame, part: str, hash_col: str, tie: str, value: str, out: str, rows: int, fan: int = 8, leaf: int = 256) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``part`` with a smaller (hash, tie).
 
-    ``hash_col`` is an evenly spread long. Levels of ``2**fan`` buckets are summed until a bucket holds about
+    ``hash_col`` is an evenly spread long. Columns whose names begin with ``_h``, ``_b`` or ``_w`` are its own. Levels of ``2**fan`` buckets are summed until a bucket holds about
     ``leaf`` of the ``rows`` rows, so no window grows with the size of a part.
     """
     depth = 1
