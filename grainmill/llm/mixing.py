@@ -12,7 +12,7 @@ slot's rank from sums over stretches of the schedule, so no window grows with a
 third of all rows only has more buckets' worth of rows.
 
 Null and blank texts have size 0 and are never taken. The null source comes last. Repeated rows are
-rows of their own. Very long documents span blocks. An empty table gives an empty result.
+rows of their own. Very long documents span blocks. Other columns are carried only where asked for, under whatever name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -153,14 +153,15 @@ def apply(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **opt
 
     A document that its source's last slot cuts short keeps the words taken, joined by single spaces.
     """
-    keyed = scratch.materialize(docs.withColumn("__copy", F.monotonically_increasing_id()), "mix-input")
-    found = mix(keyed, text_col=text_col, carry=("__copy",), shuffle_by=(id_col,), **options)
+    keyed = scratch.materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("copy")), "mix-input")
+    source_col = options.pop("source_col", "source")
+    found = mix(keyed, text_col=f"row.`{text_col}`", source_col=f"row.`{source_col}`", carry=("copy",), shuffle_by=(f"row.`{id_col}`",), **options)
     spans = found.takes.groupBy("row_id", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
-    spans = spans.join(found.documents.select("row_id", "__copy", "size"), "row_id").select("__copy", F.struct("start", "length", "size").alias("__span"))
-    out, span = keyed.join(spans, "__copy"), F.col("__span")
-    part = F.array_join(F.slice(words(F.col(text_col)), (span["start"] + 1).cast("int"), span["length"].cast("int")), " ")
-    cut = F.when(span["length"] == span["size"], F.col(text_col)).otherwise(part)
-    columns = [cut.alias(c) if c == text_col else F.length(cut).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    spans = spans.join(found.documents.select("row_id", "copy", "size"), "row_id").select("copy", F.struct("start", "length", "size").alias("span"))
+    out, span, row = keyed.join(spans, "copy"), F.col("span"), F.col("row")
+    part = F.array_join(F.slice(words(row[text_col]), (span["start"] + 1).cast("int"), span["length"].cast("int")), " ")
+    cut = F.when(span["length"] == span["size"], row[text_col]).otherwise(part)
+    columns = [cut.alias(c) if c == text_col else F.length(cut).cast("long").alias(c) if c == "n_chars" else row[c].alias(c) for c in docs.columns]
     return out.select(*columns)
 
 

@@ -13,7 +13,8 @@ many pieces there are. That bounded plan goes to the tasks; pieces find their se
 pieces of equal length, which windows over small buckets give.
 
 Null texts are empty, a document of the end id alone. Repeated rows are packed once each. Ties among
-pieces of equal length are broken by document id and piece. An empty table gives an empty result.
+pieces of equal length are broken by document id and piece. Columns of the documents but id and text are never read, and those of pieces
+pass through under whatever name, but ``sequence_id`` and ``offset``, which are replaced. Very long texts are cut up within one task. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -151,13 +152,15 @@ def pack(found: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     places = _allotments(plan(by_length, capacity))
 
     n_buckets = max(1, sum(by_length.values()) // BUCKET)
-    found = found.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(n_buckets)))
-    sums = found.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("length", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy(F.col(id_col), "piece", "ids_crc32")
-    ranked = found.withColumn("_n", F.row_number().over(within) - 1).join(sums, ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_n"))
+    bucket = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(n_buckets))
+    rows = found.select(F.struct("*").alias("row"), "length", bucket.alias("bucket"))
+    sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.col("row")
+    within = Window.partitionBy("length", "bucket").orderBy(own[id_col], own["piece"], own["ids_crc32"])
+    ranked = rows.withColumn("n", F.row_number().over(within) - 1).join(sums, ["length", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("n"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -171,8 +174,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
             sequence[here], offset[here] = first[k] + turn, where[k] + slot * n
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    out = ranked.withColumn("_place", place("length", "_rank"))
-    return out.select(*[c for c in found.columns if c != "_bucket"], F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    out = ranked.select("row", place("length", "rank").alias("place"))
+    kept = [own[c].alias(c) for c in found.columns if c not in ("sequence_id", "offset")]
+    return out.select(*kept, F.col("place.sequence_id").alias("sequence_id"), F.col("place.offset").alias("offset"))
 
 
 def assemble(packed: DataFrame) -> DataFrame:

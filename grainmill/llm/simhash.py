@@ -11,7 +11,8 @@ nothing there, as only distinct fingerprints take part. A task returns a spannin
 it found, never the links of a whole group; the forests are joined by label propagation on tables.
 
 Texts that are null or blank have fingerprint zero. Repeated rows share a fingerprint. A null id never
-becomes a component id unless the whole component has no other. An empty table gives an empty result.
+becomes a component id unless the whole component has no other. Very long texts are hashed whole within one task. Other columns are
+never read, so any names go. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ A file, all numbers little-endian::
 Documents are dealt out by ranges of their id, each task sorts its range and writes files of bounded size,
 and the files' totals are summed in order to give the tokens before each. Null texts are empty, with the
 end id alone. Equal document ids stand in order of a hash of their texts; null ids come first. A very long text
-is one document of one file. An empty table gives no file and an empty result.
+is one document of one file. Other columns are never read, so any names go. An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 The tokenizers library spends most of its time on words it has seen before. Texts are cut before a
 space that follows a character that is not white space; every tokenizer whose pre-tokeniser never joins
 such a character with what follows gives the same ids for the pieces as for the whole. Pieces
-are encoded by the library once per worker and then looked up.
+are encoded by the library once per worker and then looked up. Each encoder holds its pieces against the library's ids
+of a few probes first; a tokenizer that fails there encodes texts whole.
 """
 
 from __future__ import annotations
@@ -72,13 +73,18 @@ def _piece(key: str) -> str:
 _TAIL = frozenset(",.!?;:")
 
 
+PROBES = ("Good day, Sir! It's 12:30.\n\nA  b c;", "\u00e9t\u00e9 o\u00f9?  na\u00efve\t1 234,56 \u20ac, x=y; if (a<b): c!", "don't stop. New York is in the USA,\nand so on and on.", "\u65e5\u672c\u8a9e \u6587 ok of the and of the")
+
+
 class Encoder:
     """Encodes texts with a tokenizers file; one per Python worker and file."""
 
     _made: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, keep: int = PIECES_KEPT):
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.keep, self.whole = Tokenizer.from_file(path), keep, False
+        self._restart()
+        self.whole = any(self.encode([p])[0].tolist() != self.tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES)
         self._restart()
 
     @classmethod
@@ -156,6 +162,9 @@ class Encoder:
         return np.concatenate(out), counts
 
     def _some(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.whole:
+            found = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
+            return np.array([i for e in found for i in e.ids], np.uint32), np.array([len(e.ids) for e in found], np.int64)
         if len(self.index) > self.keep:
             self._restart()
         look, place, ends = self.index.__getitem__, [], []
