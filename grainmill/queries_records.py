@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from grainmill import lexicons as L
 from grainmill import scratch
-from grainmill.functions import gates, jsonx, losses, text
-from grainmill.operators import genlog, metrics, records, selection
+from grainmill.functions import gates, jsonx, losses, rewards, text
+from grainmill.operators import genlog, metrics, records, selection, splits
 from grainmill.queries_reports import REFERENCE, _any, _payload_sql, _rows, _strip, put_sql
 from grainmill.registry import query
 from grainmill.registry import table as _t
@@ -394,3 +394,71 @@ def api_answers(spark, sf):
     parts = F.array(part("text", F.lit(" first ")), part("image", F.lit("x")), part("text", F.lit("  ")), part("text", F.col("lang")))
     raw = F.when(k == 0, response(F.col("text"))).when(k == 1, response(parts)).when(k == 2, F.lit('{"choices": []}')).otherwise(response(F.lit("[1]")))
     return _t(spark, sf, "documents").select("doc_id", io.answer_text(raw).alias("answer"), io.data_url(F.lit("a/b.jpg"), F.col("text").cast("binary")).alias("url"))
+
+
+# Paths, messages, sequences, and the rest of the rollups.
+
+_FILE = "CASE page_id % 4 WHEN 0 THEN '/d/' || page_id // 8 || '_jpg.rf.' || md5(url) || '.jpg' WHEN 1 THEN 'x/y.tar.gz' WHEN 2 THEN '.hidden' ELSE url END"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_FILE} AS path FROM pages), n AS (SELECT page_id, regexp_extract(path, '[^/]*$') AS name FROM p), s AS (SELECT page_id, regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS stem FROM n)
+    SELECT page_id, stem, CASE WHEN regexp_matches(stem, '^.+\\.rf\\.[^.]+$') THEN regexp_extract(stem, '^(.+)\\.rf\\.[^.]+$', 1) ELSE stem END AS cluster FROM s"""
+)
+def cluster_keys(spark, sf):
+    """Stems of paths, and their clusters: the stem without the mark of an augmented copy."""
+    k, n = F.col("page_id") % 4, F.floor(F.col("page_id") / 8).cast("string")
+    path = F.when(k == 0, F.concat(F.lit("/d/"), n, F.lit("_jpg.rf."), F.md5("url"), F.lit(".jpg"))).when(k == 1, "x/y.tar.gz").when(k == 2, ".hidden").otherwise(F.col("url"))
+    return _t(spark, sf, "pages").select("page_id", text.stem(path).alias("stem"), text.cluster_key(path).alias("cluster"))
+
+
+@query("SELECT conv_id, turn, 'A' || chr(10) || CASE WHEN trim(text, ' ' || chr(10)) = '' THEN '' ELSE trim(text, ' ' || chr(10)) || chr(10) END || role AS told FROM conversations")
+def message_texts(spark, sf):
+    """The text of messages that consist of parts."""
+    part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    content = F.array(part("text", F.lit(" A ")), part("image", F.lit("x")), part("text", F.lit(" \n")), part("text", F.concat(F.lit("\n "), "text")), part("text", F.col("role")))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", records.message_text(F.struct(content.alias("content"))).alias("told"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, range(1, 2 + vec_id % 9) AS ids, [vec_id % 3, 0, vec_id % 2, 1] AS counts FROM embeddings),
+    c AS (SELECT *, list_concat(CASE WHEN len(ids) > 5 THEN ids[1:4] ELSE ids END, [99]) AS cut FROM e)
+    SELECT vec_id, array_to_string(cut, ',') AS cut, array_to_string(list_concat(list_transform(range(8 - len(cut)), lambda x: 0), cut), ',') AS left_padded,
+           array_to_string(list_transform(counts, lambda n, i: array_to_string(list_transform(range(1 + coalesce(list_sum(counts[1:i - 1]), 0)::BIGINT, 1 + list_sum(counts[1:i])::BIGINT), lambda m: 'm' || m), '+')), ',') AS media FROM c"""
+)
+def sequences_and_media(spark, sf):
+    """Sequences cut and closed, padded on the left; media dealt to turns by the number of their tags."""
+    ids = F.sequence(F.lit(1), (1 + F.col("vec_id") % 9).cast("int"))
+    counts = F.array((F.col("vec_id") % 3).cast("int"), F.lit(0), (F.col("vec_id") % 2).cast("int"), F.lit(1))
+    media = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda m: F.concat(F.lit("m"), m.cast("string")))
+    cut = records.truncate(ids, 5, 99)
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    turns = F.transform(records.media_slices(counts, media), lambda m: F.array_join(m, "+"))
+    return _t(spark, sf, "embeddings").select("vec_id", join(cut).alias("cut"), join(records.pad(cut, F.lit(8), 0, left=True)).alias("left_padded"), F.array_join(turns, ",").alias("media"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lang AS truth, CASE WHEN contains(text, 'und ') THEN ' DE ' WHEN contains(text, ' les ') THEN 'Fr' ELSE 'en' END AS said FROM documents),
+    l AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS l), c AS (SELECT l, count(*) FILTER (truth = l AND lower(trim(said)) = l) AS h, count(*) FILTER (lower(trim(said)) = l) AS p, count(*) FILTER (truth = l) AS n FROM d, l GROUP BY l),
+    r AS (SELECT CASE WHEN p = 0 THEN 0 ELSE h / p END AS p, CASE WHEN n = 0 THEN 0 ELSE h / n END AS r FROM c)
+    SELECT (SELECT round(avg(coalesce((truth = lower(trim(said)))::INT, 0)), 9) FROM d) AS reward, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 9) AS macro_f1 FROM r"""
+)
+def answer_accuracy(spark, sf):
+    """The mean reward of plain answers, and macro means over their classes."""
+    t = F.col("text")
+    said = F.when(t.contains("und "), " DE ").when(t.contains(" les "), "Fr").otherwise("en")
+    rows = _t(spark, sf, "documents").select(F.col("lang").alias("truth"), said.alias("said"))
+    mean = rows.agg(F.round(F.avg(F.coalesce(rewards.accuracy(F.col("said"), F.col("truth")), F.lit(0.0))), 9).alias("reward"))
+    macro = metrics.macro(metrics.class_report(rows.withColumn("said", F.lower(text.strip(F.col("said")))), "truth", "said", ["de", "en", "es", "fr"]))
+    macro = macro.select(F.lit(0).alias("at"), *[F.round(c, 9).alias(c) for c in macro.columns])
+    return mean.withColumn("at", F.lit(0)).join(macro, "at").drop("at")  # one row each
+
+
+@query(
+    """WITH l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '#7'), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels),
+    v AS (SELECT *, greatest(1, round_even(n * 0.3::DOUBLE, 0)) AS w FROM l) SELECT doc_id, label, CASE WHEN r <= CASE WHEN w >= n AND n > 1 THEN n - 1 ELSE w END THEN 'val' ELSE 'train' END AS split FROM v"""
+)
+def named_label_split(spark, sf):
+    """A stratified split whose labels are checked against those known."""
+    rows = _t(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
+    return splits.stratified_split(rows, "label", "doc_id", 0.3, 7, ["good", "bad"])
