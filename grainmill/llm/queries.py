@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, simhash, token_store, url_filter, warc
+from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, queries_search, simhash, token_store, url_filter, warc
 from grainmill.session import reach_workers
 
 
@@ -82,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
+    **queries_search.QUERIES,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    **queries_search.ORACLE_SQL,
     "op4_quality_rules": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,
