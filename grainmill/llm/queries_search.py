@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grainmill.llm import merkle
+from grainmill.llm import merkle, topk
 from grainmill.registry import table
 
 
@@ -61,5 +62,19 @@ OP11_SQL = f"""
     FROM l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source JOIN subroots r ON r.g = s.g, (SELECT node AS root FROM tops WHERE n = 1)
     LEFT JOIN proofs p ON p.row_id = l.row_id JOIN folded o ON o.row_id = l.row_id AND o.k = coalesce(len(o.steps), 0)"""
 
-QUERIES = {"op11_merkle_manifest": op11_merkle_manifest}
-ORACLE_SQL = {"op11_merkle_manifest": OP11_SQL}
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id,
+                 coalesce(list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+          FROM v AS q JOIN v ON len(q.v) = len(v.v) AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_exact_top_k": op12_exact_top_k}
+ORACLE_SQL = {"op11_merkle_manifest": OP11_SQL, "op12_exact_top_k": OP12_SQL}
