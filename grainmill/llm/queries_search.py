@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import merkle, topk
+from grainmill.llm import lexical, merkle, topk
 from grainmill.registry import table
 
 
@@ -76,5 +76,23 @@ OP12_SQL = """
     r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
-QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_exact_top_k": op12_exact_top_k}
-ORACLE_SQL = {"op11_merkle_manifest": OP11_SQL, "op12_exact_top_k": OP12_SQL}
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"list_transform(regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+OP13_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT row_id, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d WHERE len(terms) > 0),
+    p AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+    a AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+    q AS (SELECT DISTINCT item_id, text, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    s AS (SELECT item_id, text, row_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+          FROM q JOIN p USING (term) JOIN w USING (term), a WHERE doc_id IS NOT NULL GROUP BY ALL),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_exact_top_k": op12_exact_top_k, "op13_ranked_search": op13_ranked_search}
+ORACLE_SQL = {"op11_merkle_manifest": OP11_SQL, "op12_exact_top_k": OP12_SQL, "op13_ranked_search": OP13_SQL}
