@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grainmill import scratch
 from grainmill.functions import symbolic
 from grainmill.registry import query
 from grainmill.registry import table as _t
+from grainmill.sources import arrays
 
 
 @query(
@@ -39,3 +41,16 @@ def symbolic_answers(spark, sf):
         own = F.when(k == i, F.lit(None) if form is None else put(form)).otherwise(own)
     rows = lines.select("l_orderkey", "l_linenumber", own.alias("own"), gold.alias("gold"))
     return symbolic.with_accuracy(rows, "own", "gold", "score").select("l_orderkey", "l_linenumber", "score")
+
+
+@query(
+    r"""SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS place, doc_id, length(text || '{"}\')::INT AS n, md5(coalesce(text || '{"}\', '-')) AS told, lang, n_chars
+    FROM documents"""
+)
+def array_round_trip(spark, sf):
+    """Documents, with braces, quotes and backslashes in their texts and an object within, as one JSON array and back."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit('{"}\\')).alias("text"), F.struct("lang", F.struct("n_chars").alias("size")).alias("about"))
+    path = scratch.new_path(spark, "json-array")
+    arrays.write_json_array(docs, path, ["doc_id"])
+    back = arrays.read_json_array(spark, path, "doc_id long, text string, about struct<lang:string,size:struct<n_chars:long>>")
+    return back.select("place", "doc_id", F.length("text").alias("n"), F.md5(F.coalesce("text", F.lit("-")).cast("binary")).alias("told"), "about.lang", "about.size.n_chars")
