@@ -16,16 +16,11 @@ from grainmill.sources import io
 # Model outputs.
 
 
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 9 IN (6, 7) THEN NULL WHEN doc_id % 9 = 5 THEN (doc_id + 1)::VARCHAR ELSE doc_id::VARCHAR END AS k,
-    CASE WHEN doc_id % 9 IN (6, 7) THEN NULL ELSE length(text) END::INT AS n FROM documents"""
-)
-def model_outputs(spark, sf):
-    """Objects as models write them: bare, fenced, after thinking, amid prose, after a broken one, in an array; or none that parses."""
-    docs = _t(spark, sf, "documents")
+def _told():
+    """What models wrote around their objects, from ``doc_id`` and ``text``."""
     made = lambda k: F.to_json(F.struct(k.alias("k"), F.col("text").alias("t")))
     own, k = made(F.col("doc_id")), F.col("doc_id") % 9
-    raw = (
+    return (
         F.when(k == 0, own)
         .when(k == 1, F.concat(F.lit("Here it is:\n```json\n"), own, F.lit("\n```\nDone.")))
         .when(k == 2, F.concat(F.lit('<think>maybe {"k": 0}</think>\n'), own))
@@ -36,7 +31,15 @@ def model_outputs(spark, sf):
         .when(k == 7, F.lit("no object"))
         .otherwise(F.concat(F.lit("</think>``` \n"), own, F.lit("```")))
     )
-    found = jsonx.extract(docs.select("doc_id", raw.alias("raw")), "raw")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 9 IN (6, 7) THEN NULL WHEN doc_id % 9 = 5 THEN (doc_id + 1)::VARCHAR ELSE doc_id::VARCHAR END AS k,
+    CASE WHEN doc_id % 9 IN (6, 7) THEN NULL ELSE length(text) END::INT AS n FROM documents"""
+)
+def model_outputs(spark, sf):
+    """Objects as models write them: bare, fenced, after thinking, amid prose, after a broken one, in an array; or none that parses."""
+    found = jsonx.extract(_t(spark, sf, "documents").select("doc_id", _told().alias("raw")), "raw")
     return found.select("doc_id", F.get_json_object("payload", "$.k").alias("k"), F.length(F.get_json_object("payload", "$.t")).alias("n"))
 
 
