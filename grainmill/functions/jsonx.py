@@ -133,7 +133,7 @@ def flatten_text(parsed: Column) -> Column:
     lines = _lines(parsed)
     values = [lines[n][f] for n in (*L.REQUIRED_LINES, *L.OPTIONAL_LINES) for f in L.LINE_FIELDS]
     values += [parsed[L.TOP_KEY][f] for f in L.REPORT_FIELDS]
-    return F.array_join(F.filter(F.array(*[strip(v) for v in values]), lambda v: v != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.array(*values), strip), lambda v: v != ""), "\n")
 
 
 def flatten_any(raw: Column) -> Column:
@@ -152,18 +152,18 @@ def flatten_any(raw: Column) -> Column:
     return F.when(F.try_parse_json(raw).isNotNull(), found)
 
 
-def line_text(parsed: Column, name: str, with_name: bool = True) -> Column:
+def line_text(parsed: Column, name: str | Column, with_name: bool = True) -> Column:
     """A line's known fields, with its name first; empty if the line is absent."""
-    line = _lines(parsed)[name]
-    values = F.filter(F.array(*[strip(line[f]) for f in L.LINE_FIELDS]), lambda v: v != "")
-    head = F.array(F.lit(name)) if with_name else F.array().cast("array<string>")
+    line, name = _lines(parsed)[name], name if isinstance(name, Column) else F.lit(name)
+    values = F.filter(F.transform(F.array(*[line[f] for f in L.LINE_FIELDS]), strip), lambda v: v != "")
+    head = F.array(name) if with_name else F.array().cast("array<string>")
     return F.when(line.isNull(), F.lit("")).otherwise(F.array_join(F.concat(head, values), "\n"))
 
 
 def reference_text(parsed: Column) -> Column:
-    names = (*L.REQUIRED_LINES, *L.OPTIONAL_LINES)
-    reports = [strip(parsed[L.TOP_KEY][f]) for f in L.REPORT_FIELDS]
-    return F.array_join(F.filter(F.array(*[line_text(parsed, n) for n in names], *reports), lambda v: v != ""), "\n")
+    lines = F.transform(F.lit([*L.REQUIRED_LINES, *L.OPTIONAL_LINES]), lambda n: line_text(parsed, n))
+    reports = F.transform(F.array(*[parsed[L.TOP_KEY][f] for f in L.REPORT_FIELDS]), strip)
+    return F.array_join(F.filter(F.concat(lines, reports), lambda v: v != ""), "\n")
 
 
 def uncertain_lines(parsed: Column, terms: tuple[str, ...], names: tuple[str, ...] | None = L.REQUIRED_LINES) -> Column:

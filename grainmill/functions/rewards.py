@@ -35,9 +35,22 @@ def _least(limit: float, x: Column) -> Column:
     return F.least(F.lit(limit), x)
 
 
+def _terms(terms: Sequence[str]) -> Column:
+    """The terms as one literal: an expression over it does not grow with their number."""
+    return F.lit(list(terms))
+
+
+def _has(text: Column, terms: Sequence[str]) -> Column:
+    return F.exists(_terms(terms), lambda t: text.contains(t))
+
+
+def _size_of(terms: Sequence[str], told: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(_terms(terms), told))
+
+
 def unsupported(section: Column, reference: Column, terms: Sequence[str] = L.DETAIL_TERMS) -> Column:
     """Terms in the section that the reference lacks."""
-    return sum_of([(section.contains(t) & ~reference.contains(t)).cast("int") for t in terms])
+    return _size_of(terms, lambda t: section.contains(t) & ~reference.contains(t))
 
 
 def assertive(section: Column, patterns: Sequence[str] = L.ASSERTIVE_PATTERNS) -> Column:
@@ -46,35 +59,48 @@ def assertive(section: Column, patterns: Sequence[str] = L.ASSERTIVE_PATTERNS) -
 
 def line_facts(section: Column, reference: Column) -> Column:
     """What the rules of one line ask for, once: struct of u, c, k, d, a, j, cov, terms, s, r."""
+    return F.struct(
+        _has(reference, L.UNCERTAIN_TERMS).alias("u"),
+        _has(section, L.CAUTIOUS_TERMS).alias("c"),
+        _has(section, L.RETAKE_TERMS).alias("k"),
+        unsupported(section, reference).cast("double").alias("d"),
+        assertive(section).cast("double").alias("a"),
+        jaccard(section, reference).alias("j"),
+        _size_of(L.EVIDENCE_TERMS, lambda t: reference.contains(t) & section.contains(t)).cast("double").alias("cov"),
+        _size_of(L.EVIDENCE_TERMS, lambda t: reference.contains(t)).cast("double").alias("terms"),
+        (section != "").alias("s"),
+        (reference != "").alias("r"),
+    )
 
-    def found(x: Column) -> Column:
-        section, reference = x["section"], x["reference"]
-        covered = sum_of([(reference.contains(t) & section.contains(t)).cast("int") for t in L.EVIDENCE_TERMS])
-        terms = sum_of([reference.contains(t).cast("int") for t in L.EVIDENCE_TERMS])
+
+def _lines_of(cut: Column, parsed: Column) -> Column:
+    named = F.array(*[F.struct(F.coalesce(cut[n], F.lit("")).alias("section"), F.lit(n).alias("name")) for n in L.REQUIRED_LINES])
+    return F.transform(named, lambda x: let(jsonx.line_text(parsed, x["name"]), lambda reference: line_facts(x["section"], reference)))
+
+
+def facts(completion: Column, parsed: Column) -> Column:
+    """What rewards of a report share, as one struct: ``lines``, an array of :func:`line_facts` of the required lines; the ``presence`` of
+    sections; the ``similarity`` of the whole texts; and the ``doubt`` in the reference. As a column it serves all of them.
+    """
+    text = F.coalesce(completion, F.lit(""))
+
+    def each(x: Column) -> Column:
         return F.struct(
-            contains_any(reference, L.UNCERTAIN_TERMS).alias("u"),
-            contains_any(section, L.CAUTIOUS_TERMS).alias("c"),
-            contains_any(section, L.RETAKE_TERMS).alias("k"),
-            unsupported(section, reference).cast("double").alias("d"),
-            assertive(section).cast("double").alias("a"),
-            jaccard(section, reference).alias("j"),
-            covered.cast("double").alias("cov"),
-            terms.cast("double").alias("terms"),
-            (section != "").alias("s"),
-            (reference != "").alias("r"),
+            _lines_of(x["cut"], parsed).alias("lines"),
+            presence_score(x["cut"], list(L.LINE_KEYWORDS)).alias("presence"),
+            jaccard(text, x["told"]).alias("similarity"),
+            _doubt(x["told"]).alias("doubt"),
         )
 
-    # Both texts are long expressions that the rules name a hundred times.
-    return let(F.struct(section.alias("section"), reference.alias("reference")), found)
+    return let(F.struct(sections(text, L.LINE_KEYWORDS).alias("cut"), jsonx.reference_text(parsed).alias("told")), each)
 
 
-def facts(completion: Column, parsed: Column) -> Column:
-    """Struct with a field of :func:`line_facts` for each required line."""
+def _doubt(reference: Column) -> Column:
+    return _least(1.0, _total(L.UNCERTAIN_TERMS, lambda t: (F.length(reference) - F.length(F.replace(reference, t, F.lit("")))) / F.length(t)) / 6.0)
 
-    def each(cut: Column) -> Column:
-        return F.struct(*[line_facts(F.coalesce(cut[n], F.lit("")), jsonx.line_text(parsed, n)).alias(n) for n in L.REQUIRED_LINES])
 
-    return let(sections(F.coalesce(completion, F.lit("")), L.LINE_KEYWORDS), each)
+def _total(terms: Sequence[str], count: Callable[[Column], Column]) -> Column:
+    return F.aggregate(_terms(terms), F.lit(0), lambda n, t: n + count(t).cast("int"))
 
 
 def _extra(f: Column) -> Column:
@@ -102,29 +128,22 @@ def evidence(f: Column) -> Column:
     return F.when(~f["s"] | ~f["r"], 0.0).when(f["u"], _doubtful(f)).when(f["terms"] == 0, grounding(f)).otherwise(scored)
 
 
-def _mean(all_facts: Column, score: Callable[[Column], Column], when: Callable[[Column], Column], empty: Column | float) -> Column:
-    n = sum_of([when(all_facts[x]).cast("int") for x in L.REQUIRED_LINES])
-    total = F.lit(0.0)
-    for x in L.REQUIRED_LINES:
-        total = total + F.when(when(all_facts[x]), score(all_facts[x])).otherwise(0.0)
-    return F.when(n > 0, total / n).otherwise(empty)
+def _mean(lines: Column, score: Callable[[Column], Column], when: Callable[[Column], Column], empty: Column | float) -> Column:
+    """Mean score of the lines that count; ``empty`` without any."""
+    total = lambda some: F.aggregate(some, F.lit(0.0), lambda a, f: a + score(f))
+    return let(F.filter(lines, when), lambda some: F.when(F.size(some) > 0, total(some) / F.size(some)).otherwise(empty))
 
 
-def _penalised(all_facts: Column, penalty: Callable[[Column], Column]) -> Column:
-    checked = lambda f: f["s"] & f["r"]
-    n = sum_of([checked(all_facts[x]).cast("int") for x in L.REQUIRED_LINES])
-    total = F.lit(0.0)
-    for x in L.REQUIRED_LINES:
-        total = total + F.when(checked(all_facts[x]), penalty(all_facts[x])).otherwise(0.0)
-    return F.when(n > 0, F.greatest(F.lit(0.0), 1 - total / n)).otherwise(0.0)
+def _penalised(lines: Column, penalty: Callable[[Column], Column]) -> Column:
+    return let(_mean(lines, penalty, lambda f: f["s"] & f["r"], F.lit(None).cast("double")), lambda m: F.when(m.isNotNull(), F.greatest(F.lit(0.0), 1 - m)).otherwise(0.0))
 
 
-def _uncertain_required(all_facts: Column) -> Column:
-    return sum_of([all_facts[x]["u"].cast("int") for x in L.REQUIRED_LINES])
+def _uncertain_required(lines: Column) -> Column:
+    return F.size(F.filter(lines, lambda f: f["u"]))
 
 
-def expected_gate(all_facts: Column) -> Column:
-    return let(_uncertain_required(all_facts), lambda n: F.when(n >= 3, "retake").when(n >= 1, "cautious").otherwise("continue"))
+def expected_gate(lines: Column) -> Column:
+    return let(_uncertain_required(lines), lambda n: F.when(n >= 3, "retake").when(n >= 1, "cautious").otherwise("continue"))
 
 
 def predicted_gate(text: Column) -> Column:
@@ -139,9 +158,12 @@ def gate_matrix(expected: Column, predicted: Column, table: dict[str, Sequence[f
     return out
 
 
-def _over(completion: Column, parsed: Column, lines: Column | None, body: Callable[[Column], Column]) -> Column:
-    """``body`` of the facts: those in the column ``lines`` if it is given, as for several rewards at once."""
-    return body(lines) if lines is not None else let(facts(completion, parsed), body)
+def _over(completion: Column, parsed: Column, shared: Column | None, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the lines' facts: those of the column ``shared``, if it is given, as for several rewards at once."""
+    if shared is not None:
+        return body(shared["lines"])
+    cut = sections(F.coalesce(completion, F.lit("")), L.LINE_KEYWORDS)
+    return let(cut, lambda c: let(_lines_of(c, parsed), body))
 
 
 # Rewards of reports.
@@ -154,36 +176,39 @@ def report_format(completion: Column, low: int = 120, high: int = 1800) -> Colum
     )
 
 
-def section_structure(completion: Column, groups: Sequence[Sequence[str]] = L.SECTIONS, keywords: dict = L.LINE_KEYWORDS) -> Column:
+def section_structure(completion: Column, groups: Sequence[Sequence[str]] = L.SECTIONS, keywords: dict = L.LINE_KEYWORDS, shared: Column | None = None) -> Column:
+    """``shared`` has the presence of the sections of :data:`L.LINE_KEYWORDS`."""
     names = list(keywords)
-    return 0.45 * ordered_score(completion, groups) + 0.25 * mention_score(completion, names) + 0.30 * presence_score(sections(completion, keywords), names)
+    presence = presence_score(sections(completion, keywords), names) if shared is None else shared["presence"]
+    return 0.45 * ordered_score(completion, groups) + 0.25 * mention_score(completion, names) + 0.30 * presence
 
 
-def report_alignment(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
-    names = list(L.LINE_KEYWORDS)
-    shape = 0.4 * ordered_score(completion, L.SECTIONS) + 0.3 * mention_score(completion, names) + 0.3 * presence_score(sections(completion, L.LINE_KEYWORDS), names)
-    covered = _over(completion, parsed, lines, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
-    return 0.45 * jaccard(completion, jsonx.reference_text(parsed)) + 0.35 * covered + 0.20 * shape
+def report_alignment(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
+    if shared is None:
+        return let(facts(completion, parsed), lambda x: report_alignment(completion, parsed, x))
+    shape = 0.4 * ordered_score(completion, L.SECTIONS) + 0.3 * mention_score(completion, list(L.LINE_KEYWORDS)) + 0.3 * shared["presence"]
+    covered = _mean(shared["lines"], evidence, lambda x: x["r"], 0.0)
+    return 0.45 * shared["similarity"] + 0.35 * covered + 0.20 * shape
 
 
-def evidence_coverage(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
-    return _over(completion, parsed, lines, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
+def evidence_coverage(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
+    return _over(completion, parsed, shared, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
 
 
-def line_consistency(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+def line_consistency(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     one = lambda x: F.when(~x["s"], 0.0).when(x["u"], x["c"].cast("double")).otherwise(_least(1.0, 0.2 + 0.8 * x["j"]))
-    return _over(completion, parsed, lines, lambda f: _mean(f, one, lambda x: x["r"], 0.0))
+    return _over(completion, parsed, shared, lambda f: _mean(f, one, lambda x: x["r"], 0.0))
 
 
-def hallucination_penalty(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+def hallucination_penalty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     def penalty(f: Column) -> Column:
         both = F.when((f["d"] > 0) & (f["a"] > 0), _least(0.6, 0.2 * f["a"])).when(f["u"], _least(0.5, 0.15 * f["a"])).otherwise(0.0)
         return (f["u"] & ~f["c"]).cast("double") + _least(1.0, 0.35 * f["d"]) + both
 
-    return _over(completion, parsed, lines, lambda f: _penalised(f, penalty))
+    return _over(completion, parsed, shared, lambda f: _penalised(f, penalty))
 
 
-def caution_balance(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+def caution_balance(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     mentions, predicted = term_hits(completion, L.CAUTIOUS_TERMS), predicted_gate(completion)
 
     def balance(f: Column) -> Column:
@@ -195,15 +220,15 @@ def caution_balance(completion: Column, parsed: Column, lines: Column | None = N
         again = F.when(predicted == "continue", 0.60).when(predicted == "cautious", 0.15).otherwise(0.0)
         return clamp(1 - F.when(expected == "continue", certain).when(expected == "cautious", careful).otherwise(again))
 
-    return _over(completion, parsed, lines, balance)
+    return _over(completion, parsed, shared, balance)
 
 
-def gate_decision(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
-    return gate_matrix(_over(completion, parsed, lines, expected_gate), predicted_gate(completion))
+def gate_decision(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
+    return gate_matrix(_over(completion, parsed, shared, expected_gate), predicted_gate(completion))
 
 
-def uncertainty_honesty(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
-    doubt = let(jsonx.reference_text(parsed), lambda t: _least(1.0, term_hits(t, L.UNCERTAIN_TERMS) / 6.0))
+def uncertainty_honesty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
+    doubt = let(jsonx.reference_text(parsed), _doubt) if shared is None else shared["doubt"]
     mentioned, predicted = contains_any(completion, L.CAUTIOUS_TERMS), predicted_gate(completion)
     none = F.when(doubt >= 0.5, mentioned.cast("double")).when(mentioned, 0.4).otherwise(0.7)
 
@@ -217,15 +242,15 @@ def uncertainty_honesty(completion: Column, parsed: Column, lines: Column | None
         )
         return _least(1.0, _mean(f, honesty, lambda x: x["r"], none) + bonus)
 
-    return _over(completion, parsed, lines, score)
+    return _over(completion, parsed, shared, score)
 
 
-def contradiction_penalty(completion: Column, parsed: Column, lines: Column | None = None) -> Column:
+def contradiction_penalty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     def penalty(f: Column) -> Column:
         bold = (f["a"] > 0) | (f["d"] > 0)
         return (f["c"] & bold).cast("double") + F.when(f["u"] & bold, _least(1.0, 0.5 + 0.2 * f["d"] + 0.2 * f["a"])).otherwise(0.0)
 
-    return _over(completion, parsed, lines, lambda f: _penalised(f, penalty))
+    return _over(completion, parsed, shared, lambda f: _penalised(f, penalty))
 
 
 def safety(text: Column, safe: Sequence[str] = L.REPORT_SAFE, banned: Sequence[str] = L.REPORT_BANNED) -> Column:

@@ -76,15 +76,9 @@ def han_count(text: Column) -> Column:
 def ngram_set(text: Column, n: int = 2) -> Column:
     """Distinct character n-grams of the text without white space; a shorter text is its own only one."""
 
-    def grams(chars: Column) -> Column:
-        gram = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
-        return (
-            F.when(F.size(chars) == 0, F.array().cast("array<string>"))
-            .when(F.size(chars) < n, F.array(F.array_join(chars, "")))
-            .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), gram)))
-        )
-
-    return let(F.regexp_extract_all(compact(F.coalesce(text, F.lit(""))), F.lit("(?s)(.)"), 1), grams)
+    # A match takes one character and looks at those that follow.
+    every = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=({'.' * n}))."), 1))
+    return let(compact(F.coalesce(text, F.lit(""))), lambda t: F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(every(t)))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

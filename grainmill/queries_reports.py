@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from grainmill import lexicons as L
 from grainmill.functions import jsonx, rewards, text
+from grainmill.functions.lang import let
 from grainmill.registry import query
 from grainmill.registry import table as _t
+from grainmill.session import spread
 
 COMPLETION = (
     *((" the ", " 生命线 "), (" of ", " 智慧线 "), (" and ", " 感情线 "), (" to ", " 事业线与发展节奏 "), (" is ", " 整体印象 "), (" for ", " 近期运势 "), (" this ", " 现实建议 "), (" as ", " 总结 ")),
@@ -44,17 +46,23 @@ def payload(column: Column, key: Column) -> Column:
 
     By the key a field is blank, a line is absent, all lines are, or there is an optional line, at times with a blank field.
     """
-    at = lambda k, n: F.floor(F.length(column) * k / n)
-    part = lambda k, n: F.substr(column, (at(k, n) + 1).cast("int"), (at(k + 1, n) - at(k, n)).cast("int"))
-    width = len(L.LINE_FIELDS)
-    n = width * len(L.REQUIRED_LINES)
-    field = lambda i, k: F.when(key % 9 == k, "  ").otherwise(part(width * i + k, n))
-    line = lambda i: F.struct(*[field(i, k).alias(f) for k, f in enumerate(L.LINE_FIELDS)])
-    shown = [F.when(~((key % 11 == 5) & F.lit(i == 2)), line(i)) for i in range(len(L.REQUIRED_LINES))]
-    extra = [F.when(key % 4 == 0, F.struct(*[(F.when(key % 8 != 0, part(2, n)) if k == 2 else field(0, k)).alias(f) for k, f in enumerate(L.LINE_FIELDS)])) for _ in L.OPTIONAL_LINES]
-    lines = F.map_filter(F.create_map(*[x for name, value in zip(_NAMES, [*shown, *extra], strict=True) for x in (F.lit(name), value)]), lambda _, v: v.isNotNull())
-    reports = [part(k, len(L.REPORT_FIELDS)).alias(f) for k, f in enumerate(L.REPORT_FIELDS)]
-    return F.to_json(F.struct(F.struct(F.when(key % 10 != 9, lines).alias("lines"), *reports).alias(L.TOP_KEY)))
+    width, lines = len(L.LINE_FIELDS), len(L.REQUIRED_LINES)
+
+    def parts(t: Column, n: int) -> Column:
+        """The text in ``n`` parts."""
+        at = lambda k: F.floor(F.length(t) * k / n).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substr(t, at(k) + 1, at(k + 1) - at(k)))
+
+    def whole(x: Column) -> Column:
+        field = lambda i, k: F.when(key % 9 == k, "  ").otherwise(F.get(x["small"], i * width + k))
+        line = lambda i: F.when(~((key % 11 == 5) & (i == 2)), F.struct(*[field(i, k).alias(f) for k, f in enumerate(L.LINE_FIELDS)]))
+        shown = F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), line)
+        more = [F.when(key % 4 == 0, F.struct(*[(F.when(key % 8 != 0, F.get(x["small"], F.lit(2))) if k == 2 else field(F.lit(0), k)).alias(f) for k, f in enumerate(L.LINE_FIELDS)])) for _ in L.OPTIONAL_LINES]
+        found = F.map_filter(F.map_from_arrays(F.lit(list(_NAMES)), F.concat(shown, F.array(*more))), lambda _, v: v.isNotNull())
+        reports = [F.get(x["large"], F.lit(k)).alias(f) for k, f in enumerate(L.REPORT_FIELDS)]
+        return F.to_json(F.struct(F.struct(F.when(key % 10 != 9, found).alias("lines"), *reports).alias(L.TOP_KEY)))
+
+    return let(F.struct(parts(column, width * lines).alias("small"), parts(column, len(L.REPORT_FIELDS)).alias("large")), whole)
 
 
 def _payload_sql(column: str) -> str:
@@ -72,7 +80,7 @@ def _payload_sql(column: str) -> str:
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id``, ``completion``, ``answer`` (the completion as an analysis, in JSON) and ``raw``, the reference in JSON."""
     key = F.col("doc_id")
-    docs = _t(spark, sf, "documents").select("doc_id", put(F.col("text"), COMPLETION).alias("completion"), put(F.col("text"), REFERENCE).alias("reference"))
+    docs = spread(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", put(F.col("text"), COMPLETION).alias("completion"), put(F.col("text"), REFERENCE).alias("reference"))
     return docs.select("doc_id", "completion", payload(F.col("completion"), key + 3).alias("answer"), payload(F.col("reference"), key).alias("raw"))
 
 
@@ -191,8 +199,8 @@ REPORT_SQL = {
 def report_rewards(spark, sf):
     """All rewards of reports."""
     rows = _rows(spark, sf).select("doc_id", "completion", jsonx.parse(F.col("raw")).alias("p"))
-    rows = rows.withColumn("lines", rewards.facts(F.col("completion"), F.col("p")))
-    found = rows.select("doc_id", *rewards.REPORT_REWARDS.columns(completion=F.col("completion"), parsed=F.col("p"), lines=F.col("lines")))
+    rows = rows.withColumn("shared", rewards.facts(F.col("completion"), F.col("p")))
+    found = rows.select("doc_id", *rewards.REPORT_REWARDS.columns(completion=F.col("completion"), parsed=F.col("p"), shared=F.col("shared")))
     return found.select("doc_id", *[F.round(n, 9).alias(n) for n in REPORT_SQL])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Python functions get at once.
 ROWS_PER_BATCH = 1000
@@ -42,3 +42,9 @@ def reach_workers(spark: SparkSession) -> None:
     # Rows of whole texts: a batch of the default ten thousand could be gigabytes.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer splits than that, for work that is dear by row; as they are otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

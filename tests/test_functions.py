@@ -276,7 +276,7 @@ def test_registry(spark):
     row = df.select(*rewards.REPORT_REWARDS.columns(completion=F.col("c"), parsed=F.col("p"))).first()
     assert len(row) == 11 and all(0 <= v <= 1 for v in row)
     shared = df.withColumn("f", rewards.facts(F.col("c"), F.col("p")))
-    assert shared.select(*rewards.REPORT_REWARDS.columns(completion=F.col("c"), parsed=F.col("p"), lines=F.col("f"))).first() == row
+    assert shared.select(*rewards.REPORT_REWARDS.columns(completion=F.col("c"), parsed=F.col("p"), shared=F.col("f"))).first() == row
     assert len(df.select(*rewards.STRUCTURED_REWARDS.columns(parsed=F.col("p"), reference=F.col("p"))).first()) == 5
 
 
