@@ -11,7 +11,9 @@ that no rule fits are judged by their template. Per host the paths form a tree o
 
 So pages without a rule meet labelled pages where a host's branches look alike and its labels do not contradict each other. A template is
 rejected when it has labelled pages and its share of blocked pages among them, smoothed towards the host's, reaches
-``purity``; the host's share is smoothed towards one half, so that a few pages do not decide.
+``purity``; the host's share is smoothed towards one half. With the defaults, four labelled pages of a template, all blocked, on a host without
+other labels are the least that reject it. Since a branch without labels passes the second test, the pages of a host whose only labels are
+blocks can be rejected with them, where the branches look alike.
 
 Counts are summed by host and shape of path before any of that, so a host that holds a third of all pages is
 as many rows as it has shapes. Null URLs and those without ``://`` have empty host and path, no rule, and are
@@ -93,7 +95,7 @@ def templates(counts: DataFrame, most_children: int = 32, most_levels: int = 8,
     return now.select("host", "shape", "labelled", "blocked", "template")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", purity: float = 0.9, weight: float = 10.0, labelled: Column | None = None, **tree: float) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", purity: float = 0.9, weight: float = 3.0, labelled: Column | None = None, **tree: float) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, which replace columns of these names.
 
     With a condition ``labelled`` the rules label only the pages it holds for: the others are judged by their template alone,
