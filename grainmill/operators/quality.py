@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from grainmill import scratch
 from grainmill.lexicons import CurationLimits
-from grainmill.operators.ranking import cume_dist, floor_quantiles, value_counts
+from grainmill.operators.ranking import cume_dist, floor_quantiles, looked_up, value_counts
 
 REASONS = ("too_dark", "too_bright", "below_quality_floor", "below_sharpness_floor", "cluster_quota_exceeded", "cluster_relative_quality_low")
 
@@ -18,11 +18,21 @@ REASONS = ("too_dark", "too_bright", "below_quality_floor", "below_sharpness_flo
 def score(df: DataFrame, sharpness: str = "sharpness", contrast: str = "contrast", entropy: str = "entropy", brightness: str = "brightness", counts: DataFrame | None = None) -> DataFrame:
     """Add ``quality_score``: ranks of three measures over all rows, less for brightness far from the middle.
 
-    ``counts`` are the :func:`value_counts` of sharpness, contrast and entropy, if they are there.
+    ``counts`` are the :func:`value_counts` of sharpness, contrast and entropy, if they are there. Columns of ``df`` are carried whole, whatever their names.
     """
-    ranked = cume_dist(df, {sharpness: "_rs", contrast: "_rc", entropy: "_re"}, counts)
-    value = 0.60 * F.col("_rs") + 0.25 * F.col("_rc") + 0.15 * F.col("_re") - 0.12 * F.least(F.lit(1.0), F.abs(F.col(brightness) - 128.0) / 128.0)
-    return ranked.withColumn("quality_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_rs", "_rc", "_re")
+    scored = _scored(_packed(df, sharpness, contrast, entropy, brightness), counts)
+    return scored.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "quality_score"], F.col("q").alias("quality_score"))
+
+
+def _packed(df: DataFrame, *measures: str) -> DataFrame:
+    return df.select(F.struct("*").alias("row"), *[F.col(m).alias(name) for m, name in zip(measures, "scey", strict=True)])
+
+
+def _scored(rows: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """Add ``q`` to rows with sharpness, contrast, entropy and brightness as ``s``, ``c``, ``e`` and ``y``."""
+    ranked = cume_dist(rows, {"s": "rs", "c": "rc", "e": "re"}, counts)
+    value = 0.60 * F.col("rs") + 0.25 * F.col("rc") + 0.15 * F.col("re") - 0.12 * F.least(F.lit(1.0), F.abs(F.col("y") - 128.0) / 128.0)
+    return ranked.withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("rs", "rc", "re")
 
 
 def curate(
@@ -39,38 +49,31 @@ def curate(
 
     ``ties`` orders rows of a cluster whose score, sharpness and contrast are equal. A cluster's first rows, as many as the quota, come from a
     rank that Spark limits before its shuffle; all other rows need only the best score and whether they are among them, so no task sorts a large cluster.
-    Rows equal in all of these are ranked as they come.
+    Rows equal in all of these are ranked as they come. Columns of ``df`` are carried whole, whatever their names; results replace columns of theirs.
     """
     counts = value_counts(df, [sharpness, contrast, entropy])
-    scored = score(df, sharpness, contrast, entropy, brightness, counts).withColumn("_row", F.monotonically_increasing_id())
-    scored = scratch.materialize(scored, "scored")
-    floor = floor_quantiles(scored, "quality_score", [limits.quality_quantile])[limits.quality_quantile]
+    rows = _packed(df, sharpness, contrast, entropy, brightness).withColumns({"cluster": F.col("row")[cluster], "at": F.monotonically_increasing_id()})
+    scored = scratch.materialize(_scored(rows, counts), "scored")
+    floor = floor_quantiles(scored, "q", [limits.quality_quantile])[limits.quality_quantile]
     sharp = floor_quantiles(df, sharpness, [limits.sharpness_quantile], counts)[limits.sharpness_quantile]
-    order = [F.desc("quality_score"), F.desc(sharpness), F.desc(contrast), *ties, "_row"]
-    first = scored.withColumn("_i", F.row_number().over(Window.partitionBy(cluster).orderBy(*order))).where(F.col("_i") <= limits.max_per_cluster)
-    own = (
-        F.col(brightness) < limits.min_brightness,
-        F.col(brightness) > limits.max_brightness,
-        F.col("quality_score") < F.lit(floor),
-        F.col(sharpness) < F.lit(sharp),
-    )
+    order = [F.desc("q"), F.desc("s"), F.desc("c"), *[F.col("row")[t] for t in ties], "at"]
+    own = (F.col("y") < limits.min_brightness, F.col("y") > limits.max_brightness, F.col("q") < F.lit(floor), F.col("s") < F.lit(sharp))
     fails = F.lit(False)
     for t in own:
         fails = fails | F.coalesce(t, F.lit(False))
-    heads = first.groupBy(cluster).agg(
-        F.max_by("quality_score", -F.col("_i")).alias("_best"),
-        F.array_sort(F.collect_list(F.struct((F.col("_i") - 1).alias("i"), F.col("_row").alias("row"), fails.alias("fails"), F.col("quality_score").alias("q")))).alias("_heads"),
-    )
-    ranked = scored.join(heads, scored[cluster].eqNullSafe(heads[cluster])).drop(heads[cluster])
-    behind = lambda q: F.coalesce(q < F.col("_best") * limits.secondary_ratio, F.lit(False))
-    at = F.array_position(F.transform("_heads", lambda h: h["row"]), F.col("_row"))
-    ranked = ranked.withColumn("_i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)))
-    tests = (*own, F.col("_i") >= limits.max_per_cluster, (F.col("_i") > 0) & behind(F.col("quality_score")))
-    reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)]))
-    ranked = ranked.withColumn("reject_reasons", reasons)
-    clean = F.size("reject_reasons") == 0
-    kept = F.size(F.filter("_heads", lambda h: (h["i"] <= F.col("_i")) & ~h["fails"] & ~((h["i"] > 0) & behind(h["q"]))))
-    return ranked.withColumns({"quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, kept)}).drop("_i", "_row", "_best", "_heads")
+    first = scored.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)) - 1).where(F.col("i") < limits.max_per_cluster)
+    heads = first.groupBy(F.col("cluster").alias("of")).agg(F.max_by("q", -F.col("i")).alias("best"), F.array_sort(F.collect_list(F.struct("i", "at", fails.alias("fails"), "q"))).alias("heads"))
+    heads = looked_up(scratch.materialize(heads, "heads"))  # a row a cluster
+    ranked = scored.join(heads, F.col("cluster").eqNullSafe(F.col("of")))
+    behind = lambda q: F.coalesce(q < F.col("best") * limits.secondary_ratio, F.lit(False))
+    at = F.array_position(F.transform("heads", lambda h: h["at"]), F.col("at"))
+    ranked = ranked.withColumn("i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)))
+    tests = (*own, F.col("i") >= limits.max_per_cluster, (F.col("i") > 0) & behind(F.col("q")))
+    ranked = ranked.withColumn("reasons", F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)])))
+    clean = F.size("reasons") == 0
+    kept = F.size(F.filter("heads", lambda h: (h["i"] <= F.col("i")) & ~h["fails"] & ~((h["i"] > 0) & behind(h["q"]))))
+    made = {"quality_score": F.col("q"), "reject_reasons": F.col("reasons"), "quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, kept)}
+    return ranked.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *[c.alias(name) for name, c in made.items()])
 
 
 def reason_counts(df: DataFrame, reasons: str = "reject_reasons", none: str | None = None) -> DataFrame:

@@ -10,11 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from grainmill import scratch
 
 _BEFORE = (Window.unboundedPreceding, -1)
+#: Rows that a table of a few columns may have to be sent to all tasks.
+BROADCAST_ROWS = 100_000
+#: Buckets that one pass of :func:`element_at` counts.
+BUCKETS = 4096
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """A written table that is to be joined to a larger one: sent to all tasks where it is small, so that keys of the larger one may be hot."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def running_total(df: DataFrame, order: Sequence[str], values: dict[str, Column | str], label: str = "ranges") -> DataFrame:
@@ -80,17 +90,44 @@ def cume_dist(df: DataFrame, cols: dict[str, str], counts: DataFrame | None = No
     the values come back by an equality join. Null stays null. ``counts`` are the :func:`value_counts` of these columns, if they are there.
     """
     out, counts = df, value_counts(df, list(cols)) if counts is None else counts
+    few = {r["column"] for r in counts.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n") <= BROADCAST_ROWS).collect()}  # a row a column
     for k, (col, name) in enumerate(cols.items()):
         shares = counts.where(F.col("column") == k).select(F.col("value").alias("_value"), ((F.col("before") + F.col("n")) / F.col("total")).alias(name))
-        out = out.join(shares, F.col(col) == F.col("_value"), "left").drop("_value")
+        out = out.join(F.broadcast(shares) if k in few else shares, F.col(col) == F.col("_value"), "left").drop("_value")
     return out
 
 
+def element_at(df: DataFrame, col: str, share: float) -> object:
+    """The element at place floor(``share`` * (n - 1)) of a numeric column in ascending order; nulls do not count, NaN is the largest.
+
+    Each pass counts the values of a range in at most ``BUCKETS`` even buckets and goes on with the one that holds the place, from its least to its largest value.
+    """
+    x = F.col(col)
+    number = F.when(~F.isnan(x), x) if df.schema[col].dataType.typeName() in ("float", "double") else x
+    row = df.agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count(number).alias("n"), F.count(x).alias("all")).first()
+    low, high, below = row["low"], row["high"], 0
+    place = int(share * (row["all"] - 1))
+    if place >= row["n"]:
+        return float("nan") if row["all"] else None
+    while low != high:
+        width = (float(high) - float(low)) / BUCKETS
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((x.cast("double") - float(low)) / width)) if 0 < width < float("inf") else x
+        counts = df.where(number.between(low, high)).groupBy(bucket.alias("k")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for r in counts.orderBy("k").toLocalIterator():
+            if below + r["n"] > place:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low
+
+
 def floor_quantiles(df: DataFrame, col: str, quantiles: Sequence[float], counts: DataFrame | None = None, place: int = 0) -> dict[float, float | None]:
     """The element at place floor(q * (n - 1)) in ascending order, without interpolation; None without rows.
 
     ``counts`` are :func:`value_counts` in which the column has that ``place``, if they are there.
     """
+    if counts is None and isinstance(df.schema[col].dataType, NumericType):
+        return {q: element_at(df, col, q) for q in quantiles}
     counts = (value_counts(df, [col]) if counts is None else counts).where(F.col("column") == place)
     at = lambda q: F.floor(F.lit(q) * (F.col("total") - 1))
     hit = [F.max(F.when((F.col("before") <= at(q)) & (F.col("before") + F.col("n") > at(q)), F.col("value"))).alias(f"q{k}") for k, q in enumerate(quantiles)]
