@@ -17,7 +17,7 @@ never read, so any names go. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from math import ceil, log2
 
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill import scratch
+from grainmill.operators.ranking import looked_up
 
 SEED = 42
 #: Shingles whose bits are counted at once, and pairs of trie nodes walked at once, in one task.
@@ -218,11 +219,28 @@ def _compare_many(values: np.ndarray, labels: np.ndarray, a: int, b: int, c: int
         step = min(2 * step, max(1, PAIRS_AT_ONCE // (d - c)), 64)
 
 
-def links(fps: DataFrame, budget: int = 3, subtree: int = 1 << 20, least_depth: int = 6) -> DataFrame:
+def in_blocks(pairs: DataFrame, heads: DataFrame, most: int, item: str, by: Sequence[str] = ()) -> DataFrame:
+    """Cut the pairs of subtrees ``l`` and ``r`` that hold more than ``most`` items into pairs of blocks ``x`` and ``y``.
+
+    ``heads`` has the number ``n`` of items below each ``head``, and ``by`` like ``pairs``. Items are dealt to blocks by a hash, and each block meets itself and every other, so
+    all that share a subtree still meet, in tasks of at most about three times ``most`` items.
+    """
+    large = scratch.materialize(heads.where(F.col("n") > most // 2), "large-subtrees")
+    if large.isEmpty():
+        return pairs.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    for side in ("l", "r"):
+        pairs = pairs.join(looked_up(large.select(*by, F.col("head").alias(side), F.col("n").alias(f"n_{side}"))), [*by, side], "left")
+    size = F.coalesce("n_l", F.lit(0)) + F.when(F.col("l") != F.col("r"), F.coalesce("n_r", F.lit(0))).otherwise(0)
+    pairs = pairs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(size / most)).cast("long")).withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")))
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return pairs.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("n_l", "n_r", "blocks", "own", "other")
+
+
+def links(fps: DataFrame, budget: int = 3, subtree: int = 1 << 20, least_depth: int = 6, most: int = 1 << 22) -> DataFrame:
     """A spanning forest (``a``, ``b``) of the links between distinct fingerprints in column ``fp``.
 
     ``subtree`` is the mean number of fingerprints below one node of the depth at which the walk is
-    shared out; the depth grows with the logarithm of the number of fingerprints.
+    shared out; the depth grows with the logarithm of the number of fingerprints. Subtrees that near copies fill beyond ``most`` are walked in blocks.
     """
     distinct = scratch.materialize(fps.select("fp").distinct(), "fingerprints")
     depth = max(least_depth, ceil(log2(max(distinct.count(), 1) / subtree)))
@@ -233,6 +251,7 @@ def links(fps: DataFrame, budget: int = 3, subtree: int = 1 << 20, least_depth:
         .withColumn("q", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("p")))))
         .select("fp", F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r"))
     )
+    pairs = in_blocks(pairs, distinct.groupBy(head.alias("head")).agg(F.count("*").alias("n")), most, "fp")
 
     def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(group["fp"].to_numpy().view(np.uint64))
@@ -241,7 +260,7 @@ def links(fps: DataFrame, budget: int = 3, subtree: int = 1 << 20, least_depth:
         signed = values.view(np.int64)
         return pd.DataFrame({"a": signed[tied], "b": signed[labels[tied]]})
 
-    return pairs.groupBy("l", "r").applyInPandas(walk, "a long, b long")
+    return pairs.groupBy("l", "r", "x", "y").applyInPandas(walk, "a long, b long")
 
 
 def connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:

@@ -163,10 +163,10 @@ def _values(sketch: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.packbits(head, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def near(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, subtree: int = 1 << 18) -> DataFrame:
+def near(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, subtree: int = 1 << 18, largest: int = 1 << 20) -> DataFrame:
     """A spanning forest (``a``, ``b``) for each walk of what is near, of rows of ``node`` (long) and ``sketch``.
 
-    As :func:`simhash.links`, with a walk for each pair of subtrees of each band.
+    As :func:`simhash.links`, with a walk for each pair of subtrees of each band, in blocks beyond ``largest`` nodes.
     """
     n = nodes.count()
     plan, most = band_plan(n, similarity, recall), most_apart(similarity)
@@ -197,8 +197,20 @@ def near(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.99, subtre
         tied = np.flatnonzero(least[labels] != node)
         return pd.DataFrame({"a": node[tied], "b": least[labels[tied]]})
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = _unpacked(batch.column(0))
+            for band, places in enumerate(plan):
+                heads, times = np.unique(_values(every, places) >> np.uint64(64 - depth), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), band, np.int32)), pa.array(heads.astype(np.int64)), pa.array(times)], ["band", "head", "n"])
+
     dealt = nodes.select("node", "sketch").mapInArrow(deal, "node long, sketch binary, band int, l long, r long")
-    return dealt.groupBy("band", "l", "r").applyInPandas(walk, "a long, b long")
+    if n > largest // 2:  # else no subtree is large
+        heads = nodes.select("sketch").mapInArrow(count, "band int, head long, n long").groupBy("band", "head").agg(F.sum("n").alias("n"))
+        dealt = simhash.in_blocks(dealt, heads, largest, "node", ["band"])
+    else:
+        dealt = dealt.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    return dealt.groupBy("band", "l", "r", "x", "y").applyInPandas(walk, "a long, b long")
 
 
 def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:

@@ -12,7 +12,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm import langid, quality_classifier, queries, url_filter
+from grainmill import scratch
+from grainmill.llm import langid, quality_classifier, queries, simhash, simhash_similar, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -146,3 +147,56 @@ def test_op5_by_name(spark):
         fits = [r for _, r in url_filter.RULES if (host == (o := r.partition("/")[0]) or host.endswith("." + o)) and path.startswith(r[len(o) :])]
         r = got[p["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits, key=len) if fits else None)
+
+
+# Large subtrees of the trie walks.
+
+
+def classes_of(edges):
+    return {r["node"]: r["label"] for r in simhash.connected(edges).collect()}
+
+
+def test_links_in_blocks_are_all_links(spark):
+    """A ball of fingerprints around one, which share their first bits, in tasks of few."""
+    rnd = np.random.default_rng(8)
+    centre = 0x0123456789ABCDEF
+    ball = {centre ^ sum(1 << int(b) for b in rnd.choice(40, rnd.integers(0, 9), replace=False)) for _ in range(600)}
+    values = np.array(sorted({*ball, *map(int, rnd.integers(0, 2**63, 200))}), np.uint64)
+    apart = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    want = np.arange(len(values))
+    while True:
+        new = np.array([want[row].min() for row in apart])
+        if (new == want).all():
+            break
+        want = new
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    depth = 2
+    heads = df.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("head")).agg(F.count("*").alias("n"))
+    pairs = df.withColumn("l", F.shiftrightunsigned("fp", 64 - depth)).withColumn("r", F.col("l"))
+    blocks = simhash.in_blocks(pairs, heads, 50, "fp").groupBy("l", "r", "x", "y").count().agg(F.max("count")).first()[0]
+    assert blocks <= 150 < len(ball)
+    label = classes_of(simhash.links(df, least_depth=depth, most=50))
+    mine = [label.get(int(v), int(v)) for v in values.view(np.int64)]
+    assert len(set(zip(mine, want.tolist(), strict=True))) == len(set(mine)) == len(set(want.tolist()))
+
+
+def test_near_copies_in_blocks(spark):
+    """Five hundred edited copies of one text: what links them does not depend on blocks, and nearly all similar pairs are linked."""
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        own = list(base)
+        for _ in range(rnd.randrange(4)):
+            own[rnd.randrange(len(own))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts = sorted(set(texts)) + [" ".join(f"w{rnd.randrange(5000)}" for _ in range(100)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = scratch.materialize(simhash_similar.sketches(docs).select(F.col("doc_id").alias("node"), "sketch"), "nodes")
+    whole, cut = classes_of(simhash_similar.near(nodes)), classes_of(simhash_similar.near(nodes, subtree=200, largest=100))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    similar = [(i, j) for j in range(len(texts)) for i in range(j) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    assert len(similar) > 20_000
+    for label in (whole, cut):
+        met = sum(label.get(i, i) == label.get(j, j) for i, j in similar)
+        assert met >= 0.99 * len(similar)
