@@ -202,15 +202,17 @@ class Cascade:
         self.measured = tuple(sorted(measured, key=lambda m: (-m.gain, m.seconds_per_row, m.rule.name)))
 
     @classmethod
-    def fit(cls, df: DataFrame, rules: Sequence[Rule] = PRODUCTION, text: str = "text", sample_rows: int = 2000, seed: int = 17, passes: int = 2) -> Cascade:
+    def fit(cls, df: DataFrame, rules: Sequence[Rule] = PRODUCTION, text: str = "text", sample_rows: int = 2000, seed: int = 17, passes: int = 2, known: Sequence[str] = ()) -> Cascade:
         """Measure each rule on a Bernoulli sample of about ``sample_rows`` rows of the whole table.
 
         A rule's cost is the least of ``passes`` timed passes, less the least time of a pass that only reads the texts, as starting a job takes longer than a
-        cheap rule does. On an empty table every rule measures 0 and the order is by name.
+        cheap rule does. Measures that are ``known`` when the cascade runs are columns of the sample, so that a rule costs what it then costs beside them.
+        On an empty table every rule measures 0 and the order is by name.
         """
         total = df.count()
         fraction = min(1.0, sample_rows / max(total, 1))
-        sample = scratch.materialize(df.select(F.col(text).alias("text")).sample(fraction=fraction, seed=seed).repartition(4), "rule-sample")
+        drawn = df.select(F.col(text).alias("text")).sample(fraction=fraction, seed=seed).repartition(4)
+        sample = scratch.materialize(drawn.withColumns({m: MEASURES[m](F.col("text")) for m in known}), "rule-sample")
         rows = max(sample.count(), 1)
 
         def timed(keep: Column) -> tuple[float, int]:
@@ -226,7 +228,7 @@ class Cascade:
         idle, _ = timed(F.length("text") >= 0)
         out = []
         for rule in rules:
-            took, rejected = timed(rule.keep(Text(F.col("text"))))
+            took, rejected = timed(rule.keep(Text(F.col("text"), {m: F.col(m) for m in known})))
             out.append(Measured(rule, max(took - idle, 0.0) / rows, rejected / rows))
         return cls(out)
 
@@ -249,10 +251,15 @@ class Cascade:
         return df.where(self.verdict(F.col(text)))
 
 
+#: Measures that :func:`digest` makes for every document.
+BASE = ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")
+
+
 def digest(docs: DataFrame, cascade: Cascade) -> DataFrame:
     """One row a document: the base measures, whether the base rules fail it, and the cascade's verdict.
 
-    The base measures are wanted for every document, so they are made once and the cascade takes them as they are.
+    The base measures are wanted for every document, so they are made once and the cascade takes them as they are; fit it with :data:`BASE` known. What other
+    rules need is made only for documents that the rules before them keep.
     """
     lines = let(_lines(F.col("text")), lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines")))
     repeats = let(words(F.col("text")), lambda x: F.struct(F.size(x).cast("long").alias("n_words"), repeated_words(x).alias("n_repeat_words")))

@@ -37,7 +37,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality_rules.digest(docs, quality_rules.Cascade.fit(docs))
+    return quality_rules.digest(docs, quality_rules.Cascade.fit(docs, known=quality_rules.BASE))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

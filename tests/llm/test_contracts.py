@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill import scratch
-from grainmill.llm import langid, quality_classifier, queries, simhash, simhash_similar, url_filter
+from grainmill.llm import langid, quality_classifier, quality_rules, queries, simhash, simhash_similar, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -200,3 +200,31 @@ def test_near_copies_in_blocks(spark):
     for label in (whole, cut):
         met = sum(label.get(i, i) == label.get(j, j) for i, j in similar)
         assert met >= 0.99 * len(similar)
+
+
+# The cascade's order.
+
+
+def test_rules_cost_what_they_cost_beside_known_measures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    apart = quality_rules.Cascade.fit(docs)
+    beside = quality_rules.Cascade.fit(docs, known=quality_rules.BASE)
+    place = lambda c, name: [m.rule.name for m in c.measured].index(name)
+    # Only the share of capitals is made from the text, so what rejects more than it goes before it.
+    upper = next(m for m in beside.measured if m.rule.name == "max_upper_share")
+    assert all(place(beside, m.rule.name) < place(beside, "max_upper_share") for m in beside.measured if m.rejected > upper.rejected)
+    cost = lambda c: {m.rule.name: m.seconds_per_row for m in c.measured}["max_repeated_share"]
+    assert cost(beside) < cost(apart)
+    rows = lambda c: sorted(map(tuple, quality_rules.digest(docs, c).collect()))
+    assert rows(apart) == rows(beside)
+
+
+def test_the_order_decides_what_is_computed(spark):
+    docs = spark.createDataFrame([(1, "a word " * 60)], "doc_id long, text string")
+    none = quality_rules.Rule("none", lambda t: t["n_words"] < 0)
+    fails = quality_rules.Rule("fails", lambda t: F.raise_error(F.concat(F.lit("read "), F.substr(t.text, F.lit(1), F.lit(3)))).cast("boolean"))
+    first = quality_rules.Cascade([quality_rules.Measured(none, 1e-5, 1.0), quality_rules.Measured(fails, 1.0, 1.0)])
+    assert [r["kept"] for r in quality_rules.digest(docs.withColumn("text", F.expr("repeat('one two three four ', 1) || array_join(transform(sequence(1, 60), i -> 'w' || i), ' ')")), first).collect()] == [False]
+    last = quality_rules.Cascade([quality_rules.Measured(none, 1.0, 1.0), quality_rules.Measured(fails, 1e-5, 1.0)])
+    with pytest.raises(Exception, match="read one"):
+        quality_rules.digest(docs.withColumn("text", F.expr("'one two ' || array_join(transform(sequence(1, 60), i -> 'w' || i), ' ')")), last).collect()
