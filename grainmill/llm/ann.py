@@ -151,7 +151,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & valid(F.col("v")))
-    lengths = {r["n"]: r["c"] for r in rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy("n").collect()}
+    counts = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.count_if("asked").alias("asked"))
+    lengths = {r["n"]: r["c"] for r in counts.where("asked > 0").orderBy("n").collect()}  # others have nothing to find
     found = [_search(rows.where(F.size("v") == n), total, n, k, dims, confidence, seed) for n, total in (lengths or {1: 0}).items()]
     return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
 
