@@ -22,6 +22,13 @@ BROADCAST_ROWS = 100_000
 BUCKETS = 4096
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has: ``name``, with underscores before it if need be."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def looked_up(df: DataFrame) -> DataFrame:
     """A written table that is to be joined to a larger one: sent to all tasks where it is small, so that keys of the larger one may be hot."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from grainmill.operators.ranking import fresh
 
 
 def challenge_score(required: Column, total: Column, hits: Column, report_hits: Column) -> Column:
@@ -32,9 +33,9 @@ def exclude(df: DataFrame, *others: DataFrame, id_col: str = "id") -> DataFrame:
 
 def per_cluster(df: DataFrame, cluster: str, order: Sequence[Column | str], most: int, rank: str | None = None) -> DataFrame:
     """The first ``most`` rows of each cluster."""
-    n = F.row_number().over(Window.partitionBy(cluster).orderBy(*order))
-    out = df.withColumn(rank or "_n", n).where(F.col(rank or "_n") <= most)
-    return out if rank else out.drop("_n")
+    own = rank or fresh(df, "_n")
+    out = df.withColumn(own, F.row_number().over(Window.partitionBy(cluster).orderBy(*order))).where(F.col(own) <= most)
+    return out if rank else out.drop(own)
 
 
 def two_source_quota(sources: Sequence[DataFrame], cluster: str, order: Sequence[str], most: int) -> DataFrame:
@@ -42,10 +43,13 @@ def two_source_quota(sources: Sequence[DataFrame], cluster: str, order: Sequence
 
     Every admitted row counts against the same quota, so rank within the cluster decides.
     """
-    united = sources[0].withColumn("_prio", F.lit(0))
+    source = "_prio"
+    for s in sources:
+        source = max(source, fresh(s, source), key=len)
+    united = sources[0].withColumn(source, F.lit(0))
     for k, s in enumerate(sources[1:], 1):
-        united = united.unionByName(s.withColumn("_prio", F.lit(k)), allowMissingColumns=True)
-    return per_cluster(united, cluster, ["_prio", *order], most).drop("_prio")
+        united = united.unionByName(s.withColumn(source, F.lit(k)), allowMissingColumns=True)
+    return per_cluster(united, cluster, [source, *order], most).drop(source)
 
 
 def top(df: DataFrame, cluster: str, order: Sequence[Column | str], most_per_cluster: int, limit: int) -> DataFrame:
@@ -59,8 +63,9 @@ def stratified(df: DataFrame, level: str, cluster: str, order: Sequence[Column |
     Where a cluster spans levels the outcome depends on the order of picks; see :func:`stratified_exact`.
     """
     kept = per_cluster(df.where(F.col(level) >= least_level), cluster, [F.desc(level), *order], most_per_cluster)
-    ranked = kept.withColumn("_turn", F.row_number().over(Window.partitionBy(level).orderBy(*order)))
-    return ranked.orderBy("_turn", F.desc(level)).limit(limit).drop("_turn")
+    turn = fresh(kept, "_turn")
+    ranked = kept.withColumn(turn, F.row_number().over(Window.partitionBy(level).orderBy(*order)))
+    return ranked.orderBy(turn, F.desc(level)).limit(limit).drop(turn)
 
 
 def stratified_exact(df: DataFrame, id_col: str, level: str, cluster: str, order: Sequence[Column | str], most_per_cluster: int, limit: int, least_level: int = 0) -> DataFrame:
@@ -72,8 +77,9 @@ def stratified_exact(df: DataFrame, id_col: str, level: str, cluster: str, order
     """
     best = per_cluster_level(df.where(F.col(level) >= least_level), cluster, level, order, most_per_cluster)
     rank = F.row_number().over(Window.partitionBy(level).orderBy(*order))
-    rows = best.withColumn("_n", rank).where(F.col("_n") <= limit * (most_per_cluster + 1)).select(id_col, level, cluster, "_n").collect()
-    queues = {k: list(g) for k, g in runs(sorted(rows, key=lambda r: (-r[level], r["_n"])), key=lambda r: r[level])}
+    place = fresh(best, "_n")
+    rows = best.withColumn(place, rank).where(F.col(place) <= limit * (most_per_cluster + 1)).select(id_col, level, cluster, place).collect()
+    queues = {k: list(g) for k, g in runs(sorted(rows, key=lambda r: (-r[level], r[place])), key=lambda r: r[level])}
     used: dict = {}
     picked: list = []
     while len(picked) < limit and any(queues.values()):
@@ -90,7 +96,8 @@ def stratified_exact(df: DataFrame, id_col: str, level: str, cluster: str, order
 
 def per_cluster_level(df: DataFrame, cluster: str, level: str, order: Sequence[Column | str], most: int) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(cluster, level).orderBy(*order))
-    return df.withColumn("_k", n).where(F.col("_k") <= most).drop("_k")
+    own = fresh(df, "_k")
+    return df.withColumn(own, n).where(F.col(own) <= most).drop(own)
 
 
 def lookup(ids: DataFrame, rows: DataFrame, id_col: str, ids_order: str, rows_order: str) -> DataFrame:

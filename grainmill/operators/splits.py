@@ -45,8 +45,9 @@ def cluster_split(df: DataFrame, key: str, stages: Sequence[tuple[str, float]],
         taken = scratch.materialize(greedy_cutoff(left, key, "_size", target_size(total, share), seed + k), "stage").withColumn("split", F.lit(name))
         chosen = taken if chosen is None else chosen.unionByName(taken)
         left = left.join(taken.select(key), key, "left_anti")
-    chosen = chosen.select(F.col(key).alias("_key"), "split")
-    return df.join(chosen, df[key] == chosen["_key"], "left").drop("_key").withColumn("split", F.coalesce("split", F.lit(rest)))
+    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("of"))
+    rows = rows.join(chosen.select(F.col(key).alias("key"), "split"), F.col("of") == F.col("key"), "left")
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "split"], F.coalesce("split", F.lit(rest)).alias("split"))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int = 42, labels: Sequence[str] | None = None) -> DataFrame:
@@ -57,19 +58,16 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: in
     """
     if labels is not None:
         df = df.where(F.assert_true(F.col(label).isin(*labels), F.concat(F.lit("unknown label: "), F.col(label).cast("string"))).isNull())
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    n_val = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share)).cast("long"))
-    n_val = F.when((n_val >= F.col("_n")) & (F.col("_n") > 1), F.col("_n") - 1).otherwise(n_val)
-    counts = counts.select(F.col(label).alias("_label"), n_val.alias("_val"))
-    ordered = df.withColumn("_order", seeded(key, seed)).withColumn("_bucket", F.substring("_order", 1, 2))
-    sums = ordered.groupBy(label, "_bucket").agg(F.count("*").alias("_c"))
-    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(label).alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_order", key))
-    placed = ordered.withColumn("_rank", rank).join(sums, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_bucket") == F.col("_b")))
-    placed = placed.join(counts, F.col(label).eqNullSafe(F.col("_label")))
-    split = F.when(F.col("_before") + F.col("_rank") <= F.col("_val"), "val").otherwise("train")
-    return placed.withColumn("split", split).select(*df.columns, "split")
+    rows = df.select(F.struct("*").alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), seeded(key, seed).alias("order")).withColumn("bucket", F.substring("order", 1, 2))
+    counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("c"))
+    earlier = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 256 buckets a label
+    n = F.sum("c").over(Window.partitionBy("label"))
+    n_val = F.greatest(F.lit(1), F.bround(n * F.lit(share)).cast("long"))
+    sums = counts.select(F.col("label").alias("l"), F.col("bucket").alias("b"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"), F.when((n_val >= n) & (n > 1), n - 1).otherwise(n_val).alias("val"))
+    rank = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("order", "key"))
+    placed = rows.withColumn("rank", rank).join(sums, F.col("label").eqNullSafe(F.col("l")) & (F.col("bucket") == F.col("b")))
+    split = F.when(F.col("before") + F.col("rank") <= F.col("val"), "val").otherwise("train")
+    return placed.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "split"], split.alias("split"))
 
 
 def leakage(df: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import encoding, jsonx, objects, symbolic
-from grainmill.operators import genlog
+from grainmill.operators import genlog, quality, ranking, selection, splits
 from grainmill.sources import arrays, io, png, service
 from grainmill.streaming import history, restart, rollup
 
@@ -335,3 +335,40 @@ def test_encoders_are_made_once_a_worker(spark, tmp_path):
     assert got == [(1, [97, 98, 99, 9], [-100, -100, 99, 9], [1, 1, 1, 1]), (1, [100, 101, 9, 0], [100, 101, 9, -100], [1, 1, 1, 0]), (2, [104, 9], [104, 9], [1, 1])]
     with open(made) as f:
         assert f.read() in ("x", "xx")  # the columns may have a worker each
+
+
+# Names that clash, and elements at a place.
+
+
+def test_clashing_names_pass(spark):
+    names = ("_row", "_i", "_best", "_heads", "_rs", "row", "at", "q", "s", "c", "e", "y", "cluster", "_n", "_k", "_prio", "_turn", "_order", "_bucket", "_rank", "_size", "_key", "order", "bucket", "label", "key", "of", "l", "b", "val")
+    rows = [(i, i % 4, float(i), float(i % 3), float(i % 5), 100.0, i % 2) for i in range(24)]
+    plain = spark.createDataFrame(rows, "id long, kind int, sharpness double, contrast double, entropy double, brightness double, side int")
+    full = plain.withColumns({n: F.lit(n) for n in names})
+    for run in (
+        lambda df: quality.curate(df, ["id"], cluster="kind"),
+        quality.score,
+        lambda df: selection.per_cluster(df, "kind", ["id"], 2),
+        lambda df: selection.two_source_quota([df, df.withColumn("id", F.col("id") + 50)], "kind", ["id"], 7),
+        lambda df: selection.stratified(df, "side", "kind", ["id"], 2, 5),
+        lambda df: selection.stratified_exact(df, "id", "side", "kind", ["id"], 2, 5),
+        lambda df: splits.stratified_split(df, "side", "id", 0.3),
+        lambda df: splits.cluster_split(df, "kind", [("val", 0.25)], "train"),
+    ):
+        want, got = run(plain), run(full)
+        new = want.columns
+        assert sorted(map(str, got.select(*new).collect())) == sorted(map(str, want.collect()))
+        assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_element_at_a_place(spark):
+    rnd = random.Random(11)
+    values = [rnd.choice([rnd.random(), 5.0, 1e300, -1e300, 1e-300, float(rnd.randrange(5))]) for _ in range(400)] + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    order = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+    for share in (0.0, 0.1, 0.5, 0.9, 0.99):
+        assert ranking.element_at(df, "x", share) == order[int(share * (len(order) - 1))]
+    assert ranking.element_at(df, "x", 1.0) != ranking.element_at(df, "x", 1.0)  # NaN
+    whole = spark.createDataFrame([(v,) for v in (2**62 + 1, 2**62, 7, 7, None)], "x long")
+    assert [ranking.element_at(whole, "x", q) for q in (0.0, 0.4, 0.7, 1.0)] == [7, 7, 2**62, 2**62 + 1]
+    assert ranking.element_at(df.limit(0), "x", 0.5) is None
