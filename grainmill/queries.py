@@ -17,6 +17,7 @@ from grainmill.operators.ranking import floor_quantiles
 from grainmill.queries_reports import _WS, _strip
 from grainmill.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from grainmill.registry import table as _t
+from grainmill.session import spread
 
 def _terms(terms: tuple[str, ...], column: str = "text") -> str:
     return " + ".join(f"((length({column}) - length(replace({column}, '{t}', ''))) // {len(t)})" for t in terms)
@@ -66,7 +67,7 @@ def _curated(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_discount").alias("entropy"),
         (F.col("l_tax") * 2000).alias("brightness"),
     )
-    return quality.curate(items, ["l_linenumber", "l_partkey", "l_suppkey"], cluster="l_orderkey")
+    return quality.curate(spread(items), ["l_linenumber", "l_partkey", "l_suppkey"], cluster="l_orderkey")
 
 
 @query(
@@ -428,7 +429,8 @@ def judge_filter(spark, sf):
     scores = (F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_tax") * 60, F.lit(4.0))
     judgment = F.struct(d.alias("decision"), *[s.cast("string").alias(f) for s, f in zip(scores, L.JUDGE_SCORES, strict=True)], F.lit("stated").alias("reason"))
     v = jsonx.judge_verdict(F.col("j"))
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", judgment.alias("j")).withColumn("v", v)
+    lines = spread(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_discount", "l_tax"))
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", judgment.alias("j")).withColumn("v", v)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round("v.average_score", 6).alias("average_score"), F.col("v.final_decision").alias("final_decision"), F.size("v.issues").alias("n_issues"))
 
 

@@ -45,6 +45,9 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the input has fewer splits than that, for work that is dear by row; as they are otherwise."""
+    """The rows over all cores where the input has fewer splits than that, as a file of one row group has, for work that is dear by row.
+
+    As they are otherwise, as on any input of a size that matters. The number of splits is asked of the planner; no row is read for it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
