@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import ann, langid, mixing, packing, quality_classifier, quality_rules, queries_search, simhash, token_store, url_filter, warc
-from grainmill.session import reach_workers
+from grainmill.session import reach_workers, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach_workers(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path(name: str) -> str:

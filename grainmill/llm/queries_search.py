@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import lexical, merkle, topk
 from grainmill.registry import table
+from grainmill.session import spread
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.audit(table(spark, sf_dir, "documents"))
+    return merkle.audit(spread(table(spark, sf_dir, "documents")))
 
 
 #: CRC-32 of a text of digits, by its definition.
@@ -78,7 +79,7 @@ OP12_SQL = """
 
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return lexical.search(lexical.index(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark"))
 
 
 _TERMS = r"list_transform(regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
