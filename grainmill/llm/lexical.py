@@ -41,7 +41,7 @@ from grainmill import scratch
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SHARD_TERMS = 1 << 20
 #: Postings of an even block, and of the longest.
-BLOCK = 16
+BLOCK = 4
 LONGEST = 64
 #: Postings that go through the dynamic programme at once, and documents scored at once.
 AT_ONCE = 1 << 15
