@@ -90,7 +90,11 @@ def _lines(parsed: Column) -> Column:
 
 
 def payload_errors(parsed: Column) -> Column:
-    """Ordered list of what a payload lacks; stops at a missing object."""
+    """Ordered list of what a payload lacks; stops at a missing object. ``parsed`` is computed once a row, whatever expression it is."""
+    return let(parsed, _errors)
+
+
+def _errors(parsed: Column) -> Column:
     analysis, lines = parsed[L.TOP_KEY], _lines(parsed)
 
     def fields(name: str) -> list[Column]:

@@ -7,17 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill import lexicons as L
-from grainmill.functions import jsonx
+from grainmill.functions import grams, jsonx
 from grainmill.functions.lang import let
 from grainmill.functions.text import (
     blank,
     clamp,
     contains_any,
     han_count,
+    han_runs,
     jaccard,
     mention_score,
     ordered_score,
@@ -57,25 +58,56 @@ def assertive(section: Column, patterns: Sequence[str] = L.ASSERTIVE_PATTERNS) -
     return pattern_hits(section, patterns)
 
 
-def line_facts(section: Column, reference: Column) -> Column:
-    """What the rules of one line ask for, once: struct of u, c, k, d, a, j, cov, terms, s, r."""
-    return F.struct(
-        _has(reference, L.UNCERTAIN_TERMS).alias("u"),
-        _has(section, L.CAUTIOUS_TERMS).alias("c"),
-        _has(section, L.RETAKE_TERMS).alias("k"),
-        unsupported(section, reference).cast("double").alias("d"),
-        assertive(section).cast("double").alias("a"),
-        jaccard(section, reference).alias("j"),
-        _size_of(L.EVIDENCE_TERMS, lambda t: reference.contains(t) & section.contains(t)).cast("double").alias("cov"),
-        _size_of(L.EVIDENCE_TERMS, lambda t: reference.contains(t)).cast("double").alias("terms"),
-        (section != "").alias("s"),
-        (reference != "").alias("r"),
-    )
+_LINE_TERMS = (*L.UNCERTAIN_TERMS, *L.CAUTIOUS_TERMS, *L.RETAKE_TERMS, *L.DETAIL_TERMS, *L.EVIDENCE_TERMS)
+FACTS = ("u", "c", "k", "d", "a", "j", "cov", "terms", "s", "r")
+
+
+def line_facts(section: Column, reference: Column, needs: Sequence[str] = FACTS, similarity: Column | None = None) -> Column:
+    """What the rules of one line ask for, once: struct of u, c, k, d, a, j, cov, terms, s, r; of those that ``needs`` names.
 
+    ``similarity`` is the Jaccard similarity of the two, if it is there.
+    """
 
-def _lines_of(cut: Column, parsed: Column) -> Column:
+    def whole(h: Column) -> Column:
+        told, given = h["section"], h["reference"]
+        known = F.filter(_terms(L.EVIDENCE_TERMS), lambda t: given.contains(t))
+        made = {
+            "u": lambda: _has(given, L.UNCERTAIN_TERMS),
+            "c": lambda: _has(told, L.CAUTIOUS_TERMS),
+            "k": lambda: _has(told, L.RETAKE_TERMS),
+            "d": lambda: unsupported(told, given).cast("double"),
+            "a": lambda: assertive(section).cast("double"),
+            "j": lambda: jaccard(section, reference) if similarity is None else similarity,
+            "cov": lambda: F.size(F.filter(known, lambda t: told.contains(t))).cast("double"),
+            "terms": lambda: F.size(known).cast("double"),
+            "s": lambda: section != "",
+            "r": lambda: reference != "",
+        }
+        return F.struct(*[made[n]().alias(n) for n in FACTS if n in needs])
+
+    return let(F.struct(han_runs(section, _LINE_TERMS).alias("section"), han_runs(reference, _LINE_TERMS).alias("reference")), whole)
+
+
+def _pairs(cut: Column, parsed: Column) -> Column:
+    """Array of ``section`` and ``reference`` of the required lines, in order."""
     named = F.array(*[F.struct(F.coalesce(cut[n], F.lit("")).alias("section"), F.lit(n).alias("name")) for n in L.REQUIRED_LINES])
-    return F.transform(named, lambda x: let(jsonx.line_text(parsed, x["name"]), lambda reference: line_facts(x["section"], reference)))
+    return F.transform(named, lambda x: F.struct(x["section"], jsonx.line_text(parsed, x["name"]).alias("reference")))
+
+
+def _lines_of(cut: Column, parsed: Column, needs: Sequence[str] = FACTS) -> Column:
+    return F.transform(_pairs(cut, parsed), lambda x: line_facts(x["section"], x["reference"], needs))
+
+
+def with_facts(df: DataFrame, completion: str, parsed: str, out: str, needs: Sequence[str] = FACTS) -> DataFrame:
+    """Add :func:`facts` of two columns as ``out``, the similarities from :mod:`grainmill.functions.grams`; for many or long texts."""
+    text = F.coalesce(F.col(completion), F.lit(""))
+    told = let(sections(text, L.LINE_KEYWORDS), lambda c: F.struct(_pairs(c, F.col(parsed)).alias("pairs"), presence_score(c, list(L.LINE_KEYWORDS)).alias("presence"), jsonx.reference_text(F.col(parsed)).alias("told")))
+    rows = df.select(F.struct("*").alias("row"), text.alias("text"), told.alias("x"))
+    left, right = F.concat("x.pairs.section", F.array("text")), F.concat("x.pairs.reference", F.array("x.told"))
+    rows = rows.withColumn("js", grams.jaccards(left, right))
+    lines = F.transform("x.pairs", lambda x, i: line_facts(x["section"], x["reference"], needs, F.get("js", i)))
+    found = F.struct(lines.alias("lines"), F.col("x.presence"), F.get("js", F.lit(len(L.REQUIRED_LINES))).alias("similarity"), _doubt(F.col("x.told")).alias("doubt"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], found.alias(out))
 
 
 def facts(completion: Column, parsed: Column) -> Column:
@@ -96,11 +128,7 @@ def facts(completion: Column, parsed: Column) -> Column:
 
 
 def _doubt(reference: Column) -> Column:
-    return _least(1.0, _total(L.UNCERTAIN_TERMS, lambda t: (F.length(reference) - F.length(F.replace(reference, t, F.lit("")))) / F.length(t)) / 6.0)
-
-
-def _total(terms: Sequence[str], count: Callable[[Column], Column]) -> Column:
-    return F.aggregate(_terms(terms), F.lit(0), lambda n, t: n + count(t).cast("int"))
+    return _least(1.0, term_hits(reference, L.UNCERTAIN_TERMS) / 6.0)
 
 
 def _extra(f: Column) -> Column:
@@ -158,12 +186,16 @@ def gate_matrix(expected: Column, predicted: Column, table: dict[str, Sequence[f
     return out
 
 
-def _over(completion: Column, parsed: Column, shared: Column | None, body: Callable[[Column], Column]) -> Column:
-    """``body`` of the lines' facts: those of the column ``shared``, if it is given, as for several rewards at once."""
+#: What a score of evidence, and a penalty, ask for.
+EVIDENCE_FACTS, _PENALTY = ("u", "c", "d", "a", "j", "cov", "terms", "s", "r"), ("u", "c", "d", "a", "s", "r")
+
+
+def _over(completion: Column, parsed: Column, shared: Column | None, body: Callable[[Column], Column], needs: Sequence[str]) -> Column:
+    """``body`` of the lines' facts that it ``needs``: those of the column ``shared``, if it is given, as for several rewards at once."""
     if shared is not None:
         return body(shared["lines"])
     cut = sections(F.coalesce(completion, F.lit("")), L.LINE_KEYWORDS)
-    return let(cut, lambda c: let(_lines_of(c, parsed), body))
+    return let(cut, lambda c: let(_lines_of(c, parsed, needs), body))
 
 
 # Rewards of reports.
@@ -192,12 +224,12 @@ def report_alignment(completion: Column, parsed: Column, shared: Column | None =
 
 
 def evidence_coverage(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
-    return _over(completion, parsed, shared, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0))
+    return _over(completion, parsed, shared, lambda f: _mean(f, evidence, lambda x: x["r"], 0.0), EVIDENCE_FACTS)
 
 
 def line_consistency(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     one = lambda x: F.when(~x["s"], 0.0).when(x["u"], x["c"].cast("double")).otherwise(_least(1.0, 0.2 + 0.8 * x["j"]))
-    return _over(completion, parsed, shared, lambda f: _mean(f, one, lambda x: x["r"], 0.0))
+    return _over(completion, parsed, shared, lambda f: _mean(f, one, lambda x: x["r"], 0.0), ("u", "c", "j", "s", "r"))
 
 
 def hallucination_penalty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
@@ -205,14 +237,15 @@ def hallucination_penalty(completion: Column, parsed: Column, shared: Column | N
         both = F.when((f["d"] > 0) & (f["a"] > 0), _least(0.6, 0.2 * f["a"])).when(f["u"], _least(0.5, 0.15 * f["a"])).otherwise(0.0)
         return (f["u"] & ~f["c"]).cast("double") + _least(1.0, 0.35 * f["d"]) + both
 
-    return _over(completion, parsed, shared, lambda f: _penalised(f, penalty))
+    return _over(completion, parsed, shared, lambda f: _penalised(f, penalty), _PENALTY)
 
 
 def caution_balance(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
-    mentions, predicted = term_hits(completion, L.CAUTIOUS_TERMS), predicted_gate(completion)
+    own = F.struct(term_hits(completion, L.CAUTIOUS_TERMS).alias("mentions"), predicted_gate(completion).alias("predicted"))
 
-    def balance(f: Column) -> Column:
+    def balance(f: Column, x: Column) -> Column:
         expected, n = expected_gate(f), _uncertain_required(f)
+        mentions, predicted = x["mentions"], x["predicted"]
         mean = _mean(f, evidence, lambda x: x["r"] & ~x["u"], 0.0)
         over = lambda k: F.greatest(F.lit(0), mentions - k)
         certain = F.when(predicted == "cautious", 0.35).when(predicted == "retake", 0.70).otherwise(0.0) + 0.03 * over(F.lit(1)) + F.when(mean < 0.35, 0.25).otherwise(0.0)
@@ -220,20 +253,21 @@ def caution_balance(completion: Column, parsed: Column, shared: Column | None =
         again = F.when(predicted == "continue", 0.60).when(predicted == "cautious", 0.15).otherwise(0.0)
         return clamp(1 - F.when(expected == "continue", certain).when(expected == "cautious", careful).otherwise(again))
 
-    return _over(completion, parsed, shared, balance)
+    return _over(completion, parsed, shared, lambda f: let(own, lambda x: balance(f, x)), EVIDENCE_FACTS)
 
 
 def gate_decision(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
-    return gate_matrix(_over(completion, parsed, shared, expected_gate), predicted_gate(completion))
+    both = F.struct(_over(completion, parsed, shared, expected_gate, ("u",)).alias("expected"), predicted_gate(completion).alias("predicted"))
+    return let(both, lambda x: gate_matrix(x["expected"], x["predicted"]))
 
 
 def uncertainty_honesty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     doubt = let(jsonx.reference_text(parsed), _doubt) if shared is None else shared["doubt"]
-    mentioned, predicted = contains_any(completion, L.CAUTIOUS_TERMS), predicted_gate(completion)
-    none = F.when(doubt >= 0.5, mentioned.cast("double")).when(mentioned, 0.4).otherwise(0.7)
+    own = F.struct(contains_any(completion, L.CAUTIOUS_TERMS).alias("mentioned"), predicted_gate(completion).alias("predicted"), doubt.alias("doubt"))
 
-    def score(f: Column) -> Column:
-        expected = expected_gate(f)
+    def score(f: Column, x: Column) -> Column:
+        expected, predicted, mentioned = expected_gate(f), x["predicted"], x["mentioned"]
+        none = F.when(x["doubt"] >= 0.5, mentioned.cast("double")).when(mentioned, 0.4).otherwise(0.7)
         bonus = (
             F.when((expected == "retake") & (predicted == "retake"), 0.1)
             .when((expected == "cautious") & predicted.isin("cautious", "retake"), 0.1)
@@ -242,7 +276,7 @@ def uncertainty_honesty(completion: Column, parsed: Column, shared: Column | Non
         )
         return _least(1.0, _mean(f, honesty, lambda x: x["r"], none) + bonus)
 
-    return _over(completion, parsed, shared, score)
+    return _over(completion, parsed, shared, lambda f: let(own, lambda x: score(f, x)), ("u", "c", "k", "d", "a", "s", "r"))
 
 
 def contradiction_penalty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
@@ -250,7 +284,7 @@ def contradiction_penalty(completion: Column, parsed: Column, shared: Column | N
         bold = (f["a"] > 0) | (f["d"] > 0)
         return (f["c"] & bold).cast("double") + F.when(f["u"] & bold, _least(1.0, 0.5 + 0.2 * f["d"] + 0.2 * f["a"])).otherwise(0.0)
 
-    return _over(completion, parsed, shared, lambda f: _penalised(f, penalty))
+    return _over(completion, parsed, shared, lambda f: _penalised(f, penalty), _PENALTY)
 
 
 def safety(text: Column, safe: Sequence[str] = L.REPORT_SAFE, banned: Sequence[str] = L.REPORT_BANNED) -> Column:
@@ -276,7 +310,8 @@ def report_coverage(parsed: Column) -> Column:
 
 
 def structured_alignment(parsed: Column, reference: Column) -> Column:
-    return 0.6 * jaccard(jsonx.flatten_text(parsed), jsonx.flatten_text(reference)) + 0.4 * (0.5 * line_coverage(parsed) + 0.5 * report_coverage(parsed))
+    similar = F.get(grams.jaccards(F.array(jsonx.flatten_text(parsed)), F.array(jsonx.flatten_text(reference))), F.lit(0))
+    return 0.6 * similar + 0.4 * (0.5 * line_coverage(parsed) + 0.5 * report_coverage(parsed))
 
 
 def payload_safety(parsed: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,8 +15,13 @@ from grainmill.functions.lang import let
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+#: Its characters one by one.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_SPACE}+\z|\A{_SPACE[4:]}+", "")
+    """Without white space at both ends. Only these are looked at, where a pattern would be tried at all white space within."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def blank(text: Column) -> Column:
@@ -56,12 +62,20 @@ def sum_of(columns: Sequence[Column]) -> Column:
 
 def term_count(text: Column, term: str) -> Column:
     """Occurrences that do not overlap."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term)))) / len(term)).cast("int")
+    # Bytes are known, characters would be counted.
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term)))) / len(term.encode())).cast("int")
+
+
+def han_runs(text: Column, terms: Sequence[str]) -> Column:
+    """The Han characters, a line feed for what lies between them: it holds terms of such characters where, and as often as, the text does, and is
+    shorter where many are looked for. With a term of other characters, the text itself.
+    """
+    return F.regexp_replace(text, r"[^一-鿿]+", "\n") if all(re.fullmatch("[一-鿿]+", t) for t in terms) else text
 
 
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
     """Sum over the terms; terms may overlap each other."""
-    return sum_of([term_count(text, t) for t in terms])
+    return let(han_runs(text, terms), lambda t: sum_of([term_count(t, x) for x in terms]))
 
 
 def pattern_hits(text: Column, patterns: Sequence[str]) -> Column:
@@ -95,7 +109,7 @@ def jaccard(a: Column, b: Column, n: int = 2) -> Column:
 
 def first_position(text: Column, keywords: Sequence[str]) -> Column:
     """Smallest position, from 1, of any keyword; null if none occurs."""
-    found = [F.nullif(F.locate(k, text), F.lit(0)) for k in keywords]
+    found = [F.when(text.contains(k), F.locate(k, text)) for k in keywords]
     return F.least(*found) if len(found) > 1 else found[0]
 
 

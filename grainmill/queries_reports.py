@@ -48,9 +48,9 @@ def payload(column: Column, key: Column) -> Column:
     """
     width, lines = len(L.LINE_FIELDS), len(L.REQUIRED_LINES)
 
-    def parts(t: Column, n: int) -> Column:
-        """The text in ``n`` parts."""
-        at = lambda k: F.floor(F.length(t) * k / n).cast("int")
+    def parts(t: Column, size: Column, n: int) -> Column:
+        """The text of that size in ``n`` parts."""
+        at = lambda k: F.floor(size * k / n).cast("int")
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substr(t, at(k) + 1, at(k + 1) - at(k)))
 
     def whole(x: Column) -> Column:
@@ -62,7 +62,8 @@ def payload(column: Column, key: Column) -> Column:
         reports = [F.get(x["large"], F.lit(k)).alias(f) for k, f in enumerate(L.REPORT_FIELDS)]
         return F.to_json(F.struct(F.struct(F.when(key % 10 != 9, found).alias("lines"), *reports).alias(L.TOP_KEY)))
 
-    return let(F.struct(parts(column, width * lines).alias("small"), parts(column, len(L.REPORT_FIELDS)).alias("large")), whole)
+    cut = lambda x: F.struct(parts(x["t"], x["size"], width * lines).alias("small"), parts(x["t"], x["size"], len(L.REPORT_FIELDS)).alias("large"))
+    return let(F.struct(column.alias("t"), F.length(column).alias("size")), lambda x: let(cut(x), whole))
 
 
 def _payload_sql(column: str) -> str:
@@ -199,7 +200,7 @@ REPORT_SQL = {
 def report_rewards(spark, sf):
     """All rewards of reports."""
     rows = _rows(spark, sf).select("doc_id", "completion", jsonx.parse(F.col("raw")).alias("p"))
-    rows = rows.withColumn("shared", rewards.facts(F.col("completion"), F.col("p")))
+    rows = rewards.with_facts(rows, "completion", "p", "shared")
     found = rows.select("doc_id", *rewards.REPORT_REWARDS.columns(completion=F.col("completion"), parsed=F.col("p"), shared=F.col("shared")))
     return found.select("doc_id", *[F.round(n, 9).alias(n) for n in REPORT_SQL])
 
@@ -207,7 +208,8 @@ def report_rewards(spark, sf):
 @query(f"WITH {_FACTS} SELECT doc_id, round(({REPORT_SQL['reference_alignment_reward']})::DOUBLE, 9) AS alignment FROM w3")
 def alignment_reward(spark, sf):
     rows = _rows(spark, sf).select("doc_id", "completion", jsonx.parse(F.col("raw")).alias("p"))
-    return rows.select("doc_id", F.round(rewards.report_alignment(F.col("completion"), F.col("p")), 9).alias("alignment"))
+    rows = rewards.with_facts(rows, "completion", "p", "shared", rewards.EVIDENCE_FACTS)
+    return rows.select("doc_id", F.round(rewards.report_alignment(F.col("completion"), F.col("p"), F.col("shared")), 9).alias("alignment"))
 
 
 @query(f"WITH {_FACTS} SELECT doc_id, round(not_invented::DOUBLE, 9) AS reward FROM w3")
