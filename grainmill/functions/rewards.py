@@ -102,17 +102,18 @@ def with_facts(df: DataFrame, completion: str, parsed: str, out: str, needs: Seq
     """Add :func:`facts` of two columns as ``out``, the similarities from :mod:`grainmill.functions.grams`; for many or long texts."""
     text = F.coalesce(F.col(completion), F.lit(""))
     told = let(sections(text, L.LINE_KEYWORDS), lambda c: F.struct(_pairs(c, F.col(parsed)).alias("pairs"), presence_score(c, list(L.LINE_KEYWORDS)).alias("presence"), jsonx.reference_text(F.col(parsed)).alias("told")))
-    rows = df.select(F.struct("*").alias("row"), text.alias("text"), told.alias("x"))
+    rows = df.select(F.struct("*").alias("row"), text.alias("text"), told.alias("x"), _own(F.col(completion)).alias("own"))
     left, right = F.concat("x.pairs.section", F.array("text")), F.concat("x.pairs.reference", F.array("x.told"))
     rows = rows.withColumn("js", grams.jaccards(left, right))
     lines = F.transform("x.pairs", lambda x, i: line_facts(x["section"], x["reference"], needs, F.get("js", i)))
-    found = F.struct(lines.alias("lines"), F.col("x.presence"), F.get("js", F.lit(len(L.REQUIRED_LINES))).alias("similarity"), _doubt(F.col("x.told")).alias("doubt"))
-    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], found.alias(out))
+    found = F.struct(lines.alias("lines"), F.col("x.presence"), F.get("js", F.lit(len(L.REQUIRED_LINES))).alias("similarity"), _doubt(F.col("x.told")).alias("doubt"), F.col("own"))
+    # A struct that is only taken apart again would be inlined by Catalyst, its lines computed anew for each reward.
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], let(found, lambda x: x).alias(out))
 
 
 def facts(completion: Column, parsed: Column) -> Column:
     """What rewards of a report share, as one struct: ``lines``, an array of :func:`line_facts` of the required lines; the ``presence`` of
-    sections; the ``similarity`` of the whole texts; and the ``doubt`` in the reference. As a column it serves all of them.
+    sections; the ``similarity`` of the whole texts; the ``doubt`` in the reference; and ``own``, what :func:`_own` has of the completion. As a column it serves all of them.
     """
     text = F.coalesce(completion, F.lit(""))
 
@@ -122,11 +123,31 @@ def facts(completion: Column, parsed: Column) -> Column:
             presence_score(x["cut"], list(L.LINE_KEYWORDS)).alias("presence"),
             jaccard(text, x["told"]).alias("similarity"),
             _doubt(x["told"]).alias("doubt"),
+            _own(completion).alias("own"),
         )
 
     return let(F.struct(sections(text, L.LINE_KEYWORDS).alias("cut"), jsonx.reference_text(parsed).alias("told")), each)
 
 
+_TEXT_TERMS = (*L.CAUTIOUS_TERMS, *L.RETAKE_TERMS, *L.LINE_KEYWORDS, *[k for group in L.SECTIONS for k in group], *L.REPORT_SAFE, *L.REPORT_BANNED)
+
+
+def _own(completion: Column) -> Column:
+    """What rewards ask of the completion alone, all of its terms looked for in its Han characters: these keep their order."""
+
+    def whole(t: Column) -> Column:
+        return F.struct(
+            ordered_score(t, L.SECTIONS).alias("ordered"),
+            mention_score(t, list(L.LINE_KEYWORDS)).alias("mention"),
+            predicted_gate(t).alias("predicted"),
+            contains_any(t, L.CAUTIOUS_TERMS).alias("mentioned"),
+            term_hits(t, L.CAUTIOUS_TERMS).alias("mentions"),
+            safety(t).alias("safe"),
+        )
+
+    return let(han_runs(completion, _TEXT_TERMS), whole)
+
+
 def _doubt(reference: Column) -> Column:
     return _least(1.0, term_hits(reference, L.UNCERTAIN_TERMS) / 6.0)
 
@@ -209,16 +230,17 @@ def report_format(completion: Column, low: int = 120, high: int = 1800) -> Colum
 
 
 def section_structure(completion: Column, groups: Sequence[Sequence[str]] = L.SECTIONS, keywords: dict = L.LINE_KEYWORDS, shared: Column | None = None) -> Column:
-    """``shared`` has the presence of the sections of :data:`L.LINE_KEYWORDS`."""
+    """``shared`` has the order, mentions and presence of :data:`L.SECTIONS` and :data:`L.LINE_KEYWORDS`, whatever is given here."""
+    if shared is not None:
+        return 0.45 * shared["own"]["ordered"] + 0.25 * shared["own"]["mention"] + 0.30 * shared["presence"]
     names = list(keywords)
-    presence = presence_score(sections(completion, keywords), names) if shared is None else shared["presence"]
-    return 0.45 * ordered_score(completion, groups) + 0.25 * mention_score(completion, names) + 0.30 * presence
+    return 0.45 * ordered_score(completion, groups) + 0.25 * mention_score(completion, names) + 0.30 * presence_score(sections(completion, keywords), names)
 
 
 def report_alignment(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     if shared is None:
         return let(facts(completion, parsed), lambda x: report_alignment(completion, parsed, x))
-    shape = 0.4 * ordered_score(completion, L.SECTIONS) + 0.3 * mention_score(completion, list(L.LINE_KEYWORDS)) + 0.3 * shared["presence"]
+    shape = 0.4 * shared["own"]["ordered"] + 0.3 * shared["own"]["mention"] + 0.3 * shared["presence"]
     covered = _mean(shared["lines"], evidence, lambda x: x["r"], 0.0)
     return 0.45 * shared["similarity"] + 0.35 * covered + 0.20 * shape
 
@@ -241,7 +263,7 @@ def hallucination_penalty(completion: Column, parsed: Column, shared: Column | N
 
 
 def caution_balance(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
-    own = F.struct(term_hits(completion, L.CAUTIOUS_TERMS).alias("mentions"), predicted_gate(completion).alias("predicted"))
+    own = _own(completion) if shared is None else shared["own"]
 
     def balance(f: Column, x: Column) -> Column:
         expected, n = expected_gate(f), _uncertain_required(f)
@@ -257,16 +279,16 @@ def caution_balance(completion: Column, parsed: Column, shared: Column | None =
 
 
 def gate_decision(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
-    both = F.struct(_over(completion, parsed, shared, expected_gate, ("u",)).alias("expected"), predicted_gate(completion).alias("predicted"))
+    both = F.struct(_over(completion, parsed, shared, expected_gate, ("u",)).alias("expected"), (predicted_gate(completion) if shared is None else shared["own"]["predicted"]).alias("predicted"))
     return let(both, lambda x: gate_matrix(x["expected"], x["predicted"]))
 
 
 def uncertainty_honesty(completion: Column, parsed: Column, shared: Column | None = None) -> Column:
     doubt = let(jsonx.reference_text(parsed), _doubt) if shared is None else shared["doubt"]
-    own = F.struct(contains_any(completion, L.CAUTIOUS_TERMS).alias("mentioned"), predicted_gate(completion).alias("predicted"), doubt.alias("doubt"))
+    own = F.struct((_own(completion) if shared is None else shared["own"]).alias("own"), doubt.alias("doubt"))
 
     def score(f: Column, x: Column) -> Column:
-        expected, predicted, mentioned = expected_gate(f), x["predicted"], x["mentioned"]
+        expected, predicted, mentioned = expected_gate(f), x["own"]["predicted"], x["own"]["mentioned"]
         none = F.when(x["doubt"] >= 0.5, mentioned.cast("double")).when(mentioned, 0.4).otherwise(0.7)
         bonus = (
             F.when((expected == "retake") & (predicted == "retake"), 0.1)
@@ -291,6 +313,10 @@ def safety(text: Column, safe: Sequence[str] = L.REPORT_SAFE, banned: Sequence[s
     return F.when(contains_any(text, banned), 0.0).when(contains_any(text, safe), 1.0).otherwise(0.2)
 
 
+def report_safety(completion: Column, shared: Column | None = None) -> Column:
+    return safety(completion) if shared is None else shared["own"]["safe"]
+
+
 # Rewards of structured payloads.
 
 
@@ -363,7 +389,7 @@ for _name, _build in {
     "uncertainty_contradiction_penalty": contradiction_penalty,
 }.items():
     REPORT_REWARDS.add(f"{_name}_reward", _build)
-REPORT_REWARDS.add("safety_language_reward", lambda completion: safety(completion))
+REPORT_REWARDS.add("safety_language_reward", report_safety)
 
 STRUCTURED_REWARDS = Registry()
 for _name, _build in {

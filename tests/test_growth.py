@@ -62,6 +62,19 @@ def test_alignment_takes_few_facts(spark):
         assert r["x"] == r["y"], r
 
 
+def test_shared_rewards_equal_single_ones(spark):
+    inputs = {"completion": F.col("completion"), "parsed": F.col("p")}
+    rows = rewards.with_facts(_reports(spark), "completion", "p", "shared")
+    many, one = rewards.REPORT_REWARDS.columns(**inputs, shared=F.col("shared")), rewards.REPORT_REWARDS.columns(**inputs)
+    for r in rows.select(F.struct(*many).alias("many"), F.struct(*one).alias("one")).collect():
+        assert r["many"] == r["one"], r
+
+
+def test_report_rewards_look_the_completion_through_once(spark):
+    told = plan(core.QUERIES["report_rewards"](spark, DATA))
+    assert told.count("locate(") <= 30 and told.count("regexp_count") + told.count("regexp_extract_all") <= 8
+
+
 def test_penalty_asks_for_no_similarity(spark):
     assert "array_intersect" not in plan(core.QUERIES["line_penalty_reward"](spark, DATA))
 
