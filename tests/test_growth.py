@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from grainmill import lexicons as L
 from grainmill import queries as core
+from grainmill import queries_records  # noqa: F401  registers flat_payload_text
 from grainmill.functions import grams, jsonx, rewards, text
 
 DATA = "/root/testdata/sf0.001"
