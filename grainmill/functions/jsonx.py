@@ -7,7 +7,7 @@ first balanced object that parses.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -164,8 +164,14 @@ def line_text(parsed: Column, name: str | Column, with_name: bool = True) -> Col
     return F.when(line.isNull(), F.lit("")).otherwise(F.array_join(F.concat(head, values), "\n"))
 
 
-def reference_text(parsed: Column) -> Column:
-    lines = F.transform(F.lit([*L.REQUIRED_LINES, *L.OPTIONAL_LINES]), lambda n: line_text(parsed, n))
+def line_texts(parsed: Column, names: Sequence[str] = (*L.REQUIRED_LINES, *L.OPTIONAL_LINES)) -> Column:
+    """:func:`line_text` of each name, in order."""
+    return F.transform(F.lit(list(names)), lambda n: line_text(parsed, n))
+
+
+def reference_text(parsed: Column, lines: Column | None = None) -> Column:
+    """All that is told, with the names of lines; ``lines`` are :func:`line_texts`, if they are there."""
+    lines = line_texts(parsed) if lines is None else lines
     reports = F.transform(F.array(*[parsed[L.TOP_KEY][f] for f in L.REPORT_FIELDS]), strip)
     return F.array_join(F.filter(F.concat(lines, reports), lambda v: v != ""), "\n")
 

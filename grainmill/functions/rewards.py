@@ -19,8 +19,10 @@ from grainmill.functions.text import (
     contains_any,
     han_count,
     han_runs,
+    han_set,
     jaccard,
     mention_score,
+    near_han,
     ordered_score,
     pattern_hits,
     presence_score,
@@ -76,7 +78,7 @@ def line_facts(section: Column, reference: Column, needs: Sequence[str] = FACTS,
             "c": lambda: _has(told, L.CAUTIOUS_TERMS),
             "k": lambda: _has(told, L.RETAKE_TERMS),
             "d": lambda: unsupported(told, given).cast("double"),
-            "a": lambda: assertive(section).cast("double"),
+            "a": lambda: assertive(h["near"]).cast("double"),
             "j": lambda: jaccard(section, reference) if similarity is None else similarity,
             "cov": lambda: F.size(F.filter(known, lambda t: told.contains(t))).cast("double"),
             "terms": lambda: F.size(known).cast("double"),
@@ -85,23 +87,25 @@ def line_facts(section: Column, reference: Column, needs: Sequence[str] = FACTS,
         }
         return F.struct(*[made[n]().alias(n) for n in FACTS if n in needs])
 
-    return let(F.struct(han_runs(section, _LINE_TERMS).alias("section"), han_runs(reference, _LINE_TERMS).alias("reference")), whole)
+    near = lambda t: F.struct(t.alias("near"), han_set(t, _LINE_TERMS).alias("section"), han_set(reference, _LINE_TERMS).alias("reference"))
+    return let(near_han(section, _LINE_TERMS), lambda t: let(near(t), whole))
 
 
-def _pairs(cut: Column, parsed: Column) -> Column:
-    """Array of ``section`` and ``reference`` of the required lines, in order."""
-    named = F.array(*[F.struct(F.coalesce(cut[n], F.lit("")).alias("section"), F.lit(n).alias("name")) for n in L.REQUIRED_LINES])
-    return F.transform(named, lambda x: F.struct(x["section"], jsonx.line_text(parsed, x["name"]).alias("reference")))
+def _pairs(cut: Column, lines: Column) -> Column:
+    """Array of ``section`` and ``reference`` of the required lines, in order; ``lines`` are :func:`jsonx.line_texts`."""
+    return F.array(*[F.struct(F.coalesce(cut[n], F.lit("")).alias("section"), F.get(lines, F.lit(k)).alias("reference")) for k, n in enumerate(L.REQUIRED_LINES)])
 
 
 def _lines_of(cut: Column, parsed: Column, needs: Sequence[str] = FACTS) -> Column:
-    return F.transform(_pairs(cut, parsed), lambda x: line_facts(x["section"], x["reference"], needs))
+    pairs = let(jsonx.line_texts(parsed, L.REQUIRED_LINES), lambda lines: _pairs(cut, lines))
+    return F.transform(pairs, lambda x: line_facts(x["section"], x["reference"], needs))
 
 
 def with_facts(df: DataFrame, completion: str, parsed: str, out: str, needs: Sequence[str] = FACTS) -> DataFrame:
     """Add :func:`facts` of two columns as ``out``, the similarities from :mod:`grainmill.functions.grams`; for many or long texts."""
     text = F.coalesce(F.col(completion), F.lit(""))
-    told = let(sections(text, L.LINE_KEYWORDS), lambda c: F.struct(_pairs(c, F.col(parsed)).alias("pairs"), presence_score(c, list(L.LINE_KEYWORDS)).alias("presence"), jsonx.reference_text(F.col(parsed)).alias("told")))
+    both = F.struct(sections(text, L.LINE_KEYWORDS).alias("cut"), jsonx.line_texts(F.col(parsed)).alias("lines"))
+    told = let(both, lambda b: F.struct(_pairs(b["cut"], b["lines"]).alias("pairs"), presence_score(b["cut"], list(L.LINE_KEYWORDS)).alias("presence"), jsonx.reference_text(F.col(parsed), b["lines"]).alias("told")))
     rows = df.select(F.struct("*").alias("row"), text.alias("text"), told.alias("x"), _own(F.col(completion)).alias("own"))
     left, right = F.concat("x.pairs.section", F.array("text")), F.concat("x.pairs.reference", F.array("x.told"))
     rows = rows.withColumn("js", grams.jaccards(left, right))
@@ -215,8 +219,10 @@ def _over(completion: Column, parsed: Column, shared: Column | None, body: Calla
     """``body`` of the lines' facts that it ``needs``: those of the column ``shared``, if it is given, as for several rewards at once."""
     if shared is not None:
         return body(shared["lines"])
-    cut = sections(F.coalesce(completion, F.lit("")), L.LINE_KEYWORDS)
-    return let(cut, lambda c: let(_lines_of(c, parsed, needs), body))
+    text = F.coalesce(completion, F.lit(""))
+    if "j" not in needs:  # Without a similarity no fact asks for more of the completion.
+        text = near_han(text, [*_LINE_TERMS, *[k for words in L.LINE_KEYWORDS.values() for k in words]])
+    return let(let(text, lambda t: sections(t, L.LINE_KEYWORDS)), lambda c: let(_lines_of(c, parsed, needs), body))
 
 
 # Rewards of reports.

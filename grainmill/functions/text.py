@@ -73,6 +73,19 @@ def han_runs(text: Column, terms: Sequence[str]) -> Column:
     return F.regexp_replace(text, r"[^一-鿿]+", "\n") if all(re.fullmatch("[一-鿿]+", t) for t in terms) else text
 
 
+def han_set(text: Column, terms: Sequence[str]) -> Column:
+    """As :func:`han_runs`, but each run of Han characters once: it holds the terms that the text does, not as often, and is short."""
+    runs = han_runs(text, terms)
+    return text if runs is text else F.array_join(F.array_distinct(F.split(runs, "\n")), "\n")
+
+
+def near_han(text: Column, terms: Sequence[str], gap: int = 4) -> Column:
+    """As :func:`han_runs`, but what lies between Han characters is kept up to a length of ``gap``: it also holds the matches of patterns that let no
+    more than that between such terms, without line feeds.
+    """
+    return F.regexp_replace(text, f"[^一-鿿]{{{gap + 1},}}", "\n") if all(re.fullmatch("[一-鿿]+", t) for t in terms) else text
+
+
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
     """Sum over the terms; terms may overlap each other."""
     return let(han_runs(text, terms), lambda t: sum_of([term_count(t, x) for x in terms]))

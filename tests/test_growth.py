@@ -87,3 +87,30 @@ def test_structured_rewards_make_no_array_of_characters(spark):
 def test_flat_text_is_made_once(spark):
     told = plan(core.QUERIES["flat_payload_text"](spark, DATA))
     assert told.count("differ") == 1 and told.count("array_join") + told.count("concat_ws") <= 4
+
+
+NEAR = ["清晰 ab 断裂", "清晰abcd断裂 深a长 深abc长", "清晰abcde断裂", "清晰 \n断裂", "清晰\U0001f600\U0001f601\U0001f602\U0001f603断裂 明显x清晰y岛纹", "线条 the 清晰, and the 走势  深刻abcdef贯穿掌心", *ODD]
+
+
+def test_texts_near_han_hold_all_matches(spark):
+    rows = spark.createDataFrame([(t,) for t in NEAR], "t string").select("t", text.near_han(F.col("t"), L.DETAIL_TERMS).alias("near"), text.han_set(F.col("t"), L.DETAIL_TERMS).alias("once"))
+    for r in rows.select("t", "near", rewards.assertive(F.col("t")).alias("x"), rewards.assertive(F.col("near")).alias("y"), *[F.struct(F.col("t").contains(k), F.col("once").contains(k)).alias(k) for k in L.EVIDENCE_TERMS]).collect():
+        assert r["x"] == r["y"], r
+        assert all(a == b for a, b in (r[k] for k in L.EVIDENCE_TERMS)), r
+
+
+def test_penalty_compares_no_text_byte_by_byte(spark):
+    told = plan(core.QUERIES["line_penalty_reward"](spark, DATA))
+    assert told.count("replace(") - told.count("regexp_replace(") == 0 and told.count("[^一-鿿]{5,}") >= 1
+
+
+def test_alignment_reads_the_lines_of_a_reference_once(spark):
+    assert plan(core.QUERIES["alignment_reward"](spark, DATA)).count(L.LINE_FIELDS[0]) <= 5
+
+
+def test_bigrams_of_common_characters_are_narrow():
+    assert grams.bigrams(grams.points("生命 线"), False).dtype.itemsize == 4
+    for a in [*ODD, *NEAR]:
+        for b in ODD:
+            x, y = ({t[i : i + 2] for i in range(max(1, len(t) - 1))} if t else set() for t in ("".join((s or "").split()) for s in (a, b)))
+            assert grams.similarity(a, b) == (len(x & y) / len(x | y) if x and y else 0.0)
