@@ -10,22 +10,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ALONE = np.uint64(1 << 63)
+_SPACES = [c for c in range(0x3002) if chr(c).isspace()]
+_INK = np.ones(0x3002, bool)  # up to one after the last white space, which stands for all after it
+_INK[_SPACES] = False
 
 
-def bigrams(text: str | None) -> np.ndarray:
-    """Distinct bigrams of code points, white space aside, as sorted numbers; a single character is its own only one."""
-    points = np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(points) < 2:
-        return points | _ALONE
-    both = np.sort(points[:-1] << np.uint64(32) | points[1:])
+def points(text: str | None) -> np.ndarray:
+    """Code points, white space aside."""
+    found = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return found[_INK[np.minimum(found, 0x3001)]]
+
+
+def bigrams(found: np.ndarray, wide: bool = True) -> np.ndarray:
+    """Distinct bigrams of code points, as sorted numbers, of half the size unless ``wide``; a single character is its own only one."""
+    if len(found) < 2:
+        return found.astype(np.uint64) | _ALONE
+    both = np.sort(found[:-1].astype(np.uint64) << np.uint64(32) | found[1:] if wide else found[:-1] << np.uint32(16) | found[1:])
     return both[np.concatenate(([True], both[1:] != both[:-1]))]
 
 
 def similarity(a: str | None, b: str | None) -> float:
     """As :func:`grainmill.functions.text.jaccard`."""
-    x, y = bigrams(a), bigrams(b)
+    x, y = points(a), points(b)
     if not len(x) or not len(y):
         return 0.0
+    wide = min(len(x), len(y)) < 2 or max(x.max(), y.max()) > 0xFFFF
+    x, y = bigrams(x, wide), bigrams(y, wide)
     both = np.sort(np.concatenate((x, y)))
     shared = int((both[1:] == both[:-1]).sum())
     return shared / (len(x) + len(y) - shared)
