@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,8 @@ from grainmill.lexicons import CurationLimits
 from grainmill.operators.ranking import cume_dist, floor_quantiles, looked_up, value_counts
 
 REASONS = ("too_dark", "too_bright", "below_quality_floor", "below_sharpness_floor", "cluster_quota_exceeded", "cluster_relative_quality_low")
+#: Rows of a cluster that one task may sort.
+CLUSTER_ROWS = 100_000
 
 
 def score(df: DataFrame, sharpness: str = "sharpness", contrast: str = "contrast", entropy: str = "entropy", brightness: str = "brightness", counts: DataFrame | None = None) -> DataFrame:
@@ -47,33 +49,64 @@ def curate(
 ) -> DataFrame:
     """Add ``quality_score``, ``quality_bucket``, ``reject_reasons`` (in fixed order) and ``cluster_rank``.
 
-    ``ties`` orders rows of a cluster whose score, sharpness and contrast are equal. A cluster's first rows, as many as the quota, come from a
-    rank that Spark limits before its shuffle; all other rows need only the best score and whether they are among them, so no task sorts a large cluster.
+    ``ties`` orders rows of a cluster whose score, sharpness and contrast are equal. Clusters of up to :data:`CLUSTER_ROWS` rows are ranked in one
+    shuffle. Of a larger one, the first rows, as many as the quota, come from a rank that Spark limits before its shuffle; all other rows need only the
+    best score and whether they are among them, so no task sorts a large cluster.
     Rows equal in all of these are ranked as they come. Columns of ``df`` are carried whole, whatever their names; results replace columns of theirs.
     """
     counts = value_counts(df, [sharpness, contrast, entropy])
     rows = _packed(df, sharpness, contrast, entropy, brightness).withColumns({"cluster": F.col("row")[cluster], "at": F.monotonically_increasing_id()})
-    scored = scratch.materialize(_scored(rows, counts), "scored")
+    scored = scratch.materialize(_scored(rows, counts).drop("e"), "scored")
     floor = floor_quantiles(scored, "q", [limits.quality_quantile])[limits.quality_quantile]
     sharp = floor_quantiles(df, sharpness, [limits.sharpness_quantile], counts)[limits.sharpness_quantile]
-    order = [F.desc("q"), F.desc("s"), F.desc("c"), *[F.col("row")[t] for t in ties], "at"]
     own = (F.col("y") < limits.min_brightness, F.col("y") > limits.max_brightness, F.col("q") < F.lit(floor), F.col("s") < F.lit(sharp))
-    fails = F.lit(False)
-    for t in own:
-        fails = fails | F.coalesce(t, F.lit(False))
+    flags = sum((F.coalesce(t, F.lit(False)).cast("int") * (1 << k) for k, t in enumerate(own)), F.lit(0))
+    order = [F.desc("q"), F.desc("s"), F.desc("c"), *[F.col("row")[t] for t in ties], "at"]
+    scored = scored.withColumn("flags", flags).drop("y")
+
+    large = scratch.materialize(scored.groupBy(F.col("cluster").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER_ROWS).select("of"), "large-clusters")
+    if large.isEmpty():
+        ranked = _ranked(scored, order, limits)
+    else:
+        in_large = F.col("cluster").eqNullSafe(F.col("of"))  # at most one in so many rows is a cluster of that size
+        few = scored.join(F.broadcast(large), in_large, "left_anti")
+        many = scored.join(F.broadcast(large), in_large, "left_semi")
+        ranked = _ranked(few, order, limits).unionByName(_ranked_large(many, order, limits))
+
+    clean = F.size("reasons") == 0
+    made = {"quality_score": F.col("q"), "reject_reasons": F.col("reasons"), "quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, F.col("kept"))}
+    return ranked.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *[c.alias(name) for name, c in made.items()])
+
+
+def _reasons(limits: CurationLimits) -> Column:
+    """Of rows with their tests ``flags``, place ``i``, score ``q`` and their cluster's ``best``."""
+    tests = [F.col("flags").bitwiseAND(1 << k) != 0 for k in range(4)]
+    tests += [F.col("i") >= limits.max_per_cluster, (F.col("i") > 0) & _behind(F.col("q"), limits)]
+    return F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)]))
+
+
+def _behind(q: Column, limits: CurationLimits) -> Column:
+    return F.coalesce(q < F.col("best") * limits.secondary_ratio, F.lit(False))
+
+
+def _ranked(scored: DataFrame, order: list[Column | str], limits: CurationLimits) -> DataFrame:
+    """``row``, ``q``, ``reasons`` and ``kept``, the rows without a reason so far in the cluster."""
+    within = Window.partitionBy("cluster").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = scored.withColumns({"i": F.row_number().over(within) - 1, "best": F.first("q").over(so_far)}).withColumn("reasons", _reasons(limits))
+    return ranked.withColumn("kept", F.sum((F.size("reasons") == 0).cast("int")).over(so_far).cast("int")).select("row", "q", "reasons", "kept")
+
+
+def _ranked_large(scored: DataFrame, order: list[Column | str], limits: CurationLimits) -> DataFrame:
+    """As :func:`_ranked`, no cluster in one task."""
     first = scored.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)) - 1).where(F.col("i") < limits.max_per_cluster)
-    heads = first.groupBy(F.col("cluster").alias("of")).agg(F.max_by("q", -F.col("i")).alias("best"), F.array_sort(F.collect_list(F.struct("i", "at", fails.alias("fails"), "q"))).alias("heads"))
+    heads = first.groupBy(F.col("cluster").alias("of")).agg(F.max_by("q", -F.col("i")).alias("best"), F.array_sort(F.collect_list(F.struct("i", "at", (F.col("flags") != 0).alias("fails"), "q"))).alias("heads"))
     heads = looked_up(scratch.materialize(heads, "heads"))  # a row a cluster
     ranked = scored.join(heads, F.col("cluster").eqNullSafe(F.col("of")))
-    behind = lambda q: F.coalesce(q < F.col("best") * limits.secondary_ratio, F.lit(False))
     at = F.array_position(F.transform("heads", lambda h: h["at"]), F.col("at"))
-    ranked = ranked.withColumn("i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)))
-    tests = (*own, F.col("i") >= limits.max_per_cluster, (F.col("i") > 0) & behind(F.col("q")))
-    ranked = ranked.withColumn("reasons", F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)])))
-    clean = F.size("reasons") == 0
-    kept = F.size(F.filter("heads", lambda h: (h["i"] <= F.col("i")) & ~h["fails"] & ~((h["i"] > 0) & behind(h["q"]))))
-    made = {"quality_score": F.col("q"), "reject_reasons": F.col("reasons"), "quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, kept)}
-    return ranked.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *[c.alias(name) for name, c in made.items()])
+    ranked = ranked.withColumn("i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)).cast("int")).withColumn("reasons", _reasons(limits))
+    kept = F.size(F.filter("heads", lambda h: (h["i"] <= F.col("i")) & ~h["fails"] & ~((h["i"] > 0) & _behind(h["q"], limits))))
+    return ranked.select("row", "q", "reasons", kept.alias("kept"))
 
 
 def reason_counts(df: DataFrame, reasons: str = "reject_reasons", none: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from grainmill import lexicons as L
 from grainmill import queries as core
 from grainmill import queries_records  # noqa: F401  registers flat_payload_text
 from grainmill.functions import grams, jsonx, rewards, text
+from grainmill.operators import quality
 
 DATA = "/root/testdata/sf0.001"
 ODD = ["", " ", None, "a", "ab", "a b", "生命线 清晰 断裂 \U0001f600\U0001f601 模糊 x", "整体印象 生命线 较长 \x1c 智慧线 模糊模糊 感情线 断裂 分叉 事业线 谨慎分析 重拍一张", "\x00a", "abab" * 50]
@@ -114,3 +115,20 @@ def test_bigrams_of_common_characters_are_narrow():
         for b in ODD:
             x, y = ({t[i : i + 2] for i in range(max(1, len(t) - 1))} if t else set() for t in ("".join((s or "").split()) for s in (a, b)))
             assert grams.similarity(a, b) == (len(x & y) / len(x | y) if x and y else 0.0)
+
+
+def _curated(spark):
+    rows = [(None if k % 11 == 0 else k * k % 7, k, float(k * 37 % 50), float(k % 5), float(k % 3), 30.0 + k * 17 % 200) for k in range(300)]
+    df = spark.createDataFrame(rows, "cluster_key int, id int, sharpness double, contrast double, entropy double, brightness double")
+    return quality.curate(df, ["id"])
+
+
+def test_large_clusters_are_ranked_like_others(spark, monkeypatch):
+    few = sorted(map(repr, _curated(spark).collect()))
+    monkeypatch.setattr(quality, "CLUSTER_ROWS", 30)
+    assert sorted(map(repr, _curated(spark).collect())) == few
+
+
+def test_ordinary_clusters_are_shuffled_once(spark):
+    told = _curated(spark)._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange hashpartitioning") == 1 and "Join" not in told
