@@ -5,7 +5,7 @@ fragments. Whether a fragment begins within a string, how deep it is nested, and
 sums over what comes before it: of quotes, of braces outside of strings, and of braces that close an object of the array. Each is summed within a split
 and, a row a split, over the splits before.
 
-Writing gives each row its rank, so that the first and the last know their bracket; the files of the folder, in the order of
+Writing sorts the rows by ranges once, with a row for the closing bracket after them; the files of the folder, in the order of
 their names, are one array.
 """
 
@@ -80,13 +80,22 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str, order: Sequence[str], mode: str = "errorifexists") -> None:
-    """The rows in order as one array in a folder of files, a row a line. ``order`` should tell rows apart; nulls come first."""
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), *[F.col(c).alias(f"by{k}") for k, c in enumerate(order)])
-    ranked = scratch.materialize(running_total(rows, [f"by{k}" for k in range(len(order))], {"rank": F.lit(1)}, "json-ranges").select("value", "rank"), "json-rows")
-    total = ranked.count()
-    if not total:
+    """The rows in order as one array in a folder of files, a row a line. ``order`` should tell rows apart; nulls come first.
+
+    Rows are dealt out by ranges and sorted once. The first row is the first of its range among those with the least key; the closing bracket is a row
+    after all others. So the columns of ``order`` must be the same whenever ``df`` is computed.
+    """
+    names = [f"by{k}" for k in range(len(order))]
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], F.lit(0).alias("end"))
+    least = rows.agg(F.min(F.struct(*names)).alias("least"))
+    if not rows.take(1):
         df.sparkSession.createDataFrame([("[]",)], "value string").write.mode(mode).text(path)
         return
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text = F.concat(F.when(F.col("rank") == 0, "[").otherwise(","), "value", F.when(F.col("rank") == total - 1, "]").otherwise(""))
-    ranked.repartitionByRange(parts, "rank").sortWithinPartitions("rank").select(text.alias("value")).write.mode(mode).text(path)
+    closing = df.sparkSession.range(1).select(F.lit("]").alias("value"), *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names], F.lit(1).alias("end"))
+    dealt = rows.unionByName(closing).repartitionByRange(parts, "end", *names).sortWithinPartitions("end", *names)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the range
+    dealt = dealt.withColumn("place", place).crossJoin(F.broadcast(least))  # one row
+    opens = (F.col("place") == 0) & F.struct(*names).eqNullSafe(F.col("least"))
+    text = F.concat(F.when(F.col("end") == 1, "").when(opens, "[").otherwise(","), "value")
+    dealt.select(text.alias("value")).write.mode(mode).text(path)

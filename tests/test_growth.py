@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from grainmill import queries as core
 from grainmill import queries_records  # noqa: F401  registers flat_payload_text
 from grainmill.functions import grams, jsonx, rewards, text
 from grainmill.operators import quality
+from grainmill.sources import arrays
 
 DATA = "/root/testdata/sf0.001"
 ODD = ["", " ", None, "a", "ab", "a b", "生命线 清晰 断裂 \U0001f600\U0001f601 模糊 x", "整体印象 生命线 较长 \x1c 智慧线 模糊模糊 感情线 断裂 分叉 事业线 谨慎分析 重拍一张", "\x00a", "abab" * 50]
@@ -132,3 +134,11 @@ def test_large_clusters_are_ranked_like_others(spark, monkeypatch):
 def test_ordinary_clusters_are_shuffled_once(spark):
     told = _curated(spark)._jdf.queryExecution().executedPlan().toString()
     assert told.count("Exchange hashpartitioning") == 1 and "Join" not in told
+
+
+def test_array_is_written_without_scratch_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays.scratch, "materialize", None)
+    df = spark.createDataFrame([(None, "b"), (None, "b"), (2, "]"), (1, None), (2, "z"), (2, "z")], "k int, t string").repartition(3)
+    arrays.write_json_array(df, str(tmp_path / "out"), ["k", "t"])
+    told = "\n".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*")))
+    assert [(x["k"], x["t"]) for x in json.loads(told)] == [(None, "b"), (None, "b"), (1, None), (2, "]"), (2, "z"), (2, "z")]
