@@ -15,6 +15,8 @@ from grainmill.operators.ranking import cume_dist, floor_quantiles, looked_up, v
 REASONS = ("too_dark", "too_bright", "below_quality_floor", "below_sharpness_floor", "cluster_quota_exceeded", "cluster_relative_quality_low")
 #: Rows of a cluster that one task may sort.
 CLUSTER_ROWS = 100_000
+#: Parts that clusters are hashed to in the search for larger ones.
+CLUSTER_PARTS = 16_384
 
 
 def score(df: DataFrame, sharpness: str = "sharpness", contrast: str = "contrast", entropy: str = "entropy", brightness: str = "brightness", counts: DataFrame | None = None) -> DataFrame:
@@ -23,11 +25,13 @@ def score(df: DataFrame, sharpness: str = "sharpness", contrast: str = "contrast
     ``counts`` are the :func:`value_counts` of sharpness, contrast and entropy, if they are there. Columns of ``df`` are carried whole, whatever their names.
     """
     scored = _scored(_packed(df, sharpness, contrast, entropy, brightness), counts)
-    return scored.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "quality_score"], F.col("q").alias("quality_score"))
+    return scored.select(*[F.col(f"r{k}").alias(c) for k, c in enumerate(df.columns) if c != "quality_score"], F.col("q").alias("quality_score"))
 
 
 def _packed(df: DataFrame, *measures: str) -> DataFrame:
-    return df.select(F.struct("*").alias("row"), *[F.col(m).alias(name) for m, name in zip(measures, "scey", strict=True)])
+    """Columns of ``df`` as ``r0``, ``r1`` and so on, with the measures beside them."""
+    own = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return df.select(*[F.col(c).alias(f"r{k}") for k, c in enumerate(own)], *[F.col(m).alias(name) for m, name in zip(measures, "scey", strict=True)])
 
 
 def _scored(rows: DataFrame, counts: DataFrame | None) -> DataFrame:
@@ -55,64 +59,85 @@ def curate(
     Rows equal in all of these are ranked as they come. Columns of ``df`` are carried whole, whatever their names; results replace columns of theirs.
     """
     counts = value_counts(df, [sharpness, contrast, entropy])
-    rows = _packed(df, sharpness, contrast, entropy, brightness).withColumns({"cluster": F.col("row")[cluster], "at": F.monotonically_increasing_id()})
-    scored = scratch.materialize(_scored(rows, counts).drop("e"), "scored")
-    floor = floor_quantiles(scored, "q", [limits.quality_quantile])[limits.quality_quantile]
+    places = {c.lower(): f"r{k}" for k, c in enumerate(df.columns)}
+    roles = {name: places.get(m.lower(), name) for m, name in zip((sharpness, contrast, brightness), "scy", strict=True)}  # a measure that is a column is written once
+    carried = [*places.values()]
+    rows = _scored(_packed(df, sharpness, contrast, entropy, brightness), counts)
+    written = scratch.materialize(rows.select(*carried, *{r: r for r in roles.values() if r not in carried}, "q"), "scored")
+    scored = written.select(*carried, "q", F.col(places[cluster.lower()]).alias("cluster"), *[F.col(r).alias(name) for name, r in roles.items()], F.monotonically_increasing_id().alias("at"))
+    floor = floor_quantiles(written, "q", [limits.quality_quantile])[limits.quality_quantile]
     sharp = floor_quantiles(df, sharpness, [limits.sharpness_quantile], counts)[limits.sharpness_quantile]
     own = (F.col("y") < limits.min_brightness, F.col("y") > limits.max_brightness, F.col("q") < F.lit(floor), F.col("s") < F.lit(sharp))
     flags = sum((F.coalesce(t, F.lit(False)).cast("int") * (1 << k) for k, t in enumerate(own)), F.lit(0))
-    order = [F.desc("q"), F.desc("s"), F.desc("c"), *[F.col("row")[t] for t in ties], "at"]
+    order = [F.desc("q"), F.desc("s"), F.desc("c"), *[places[t.lower()] for t in ties], "at"]
     scored = scored.withColumn("flags", flags).drop("y")
 
-    large = scratch.materialize(scored.groupBy(F.col("cluster").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER_ROWS).select("of"), "large-clusters")
-    if large.isEmpty():
-        ranked = _ranked(scored, order, limits)
+    large = _large(scored.select("cluster"))
+    if large is None:
+        ranked = _ranked(scored, order, limits, carried)
     else:
         in_large = F.col("cluster").eqNullSafe(F.col("of"))  # at most one in so many rows is a cluster of that size
         few = scored.join(F.broadcast(large), in_large, "left_anti")
-        many = scored.join(F.broadcast(large), in_large, "left_semi")
-        ranked = _ranked(few, order, limits).unionByName(_ranked_large(many, order, limits))
+        many = scratch.materialize(scored.join(F.broadcast(large), in_large, "left_semi"), "in-large-clusters")
+        ranked = _ranked(few, order, limits, carried).unionByName(_ranked_large(many, order, limits, carried))
 
-    clean = F.size("reasons") == 0
-    made = {"quality_score": F.col("q"), "reject_reasons": F.col("reasons"), "quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, F.col("kept"))}
-    return ranked.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *[c.alias(name) for name, c in made.items()])
+    clean = F.col("mask") == 0
+    made = {"quality_score": F.col("q"), "reject_reasons": _reasons(), "quality_bucket": F.when(clean, "clean").otherwise("hard_case"), "cluster_rank": F.when(clean, F.col("kept"))}
+    return ranked.select(*[F.col(f"r{k}").alias(c) for k, c in enumerate(df.columns) if c not in made], *[c.alias(name) for name, c in made.items()])
 
 
-def _reasons(limits: CurationLimits) -> Column:
-    """Of rows with their tests ``flags``, place ``i``, score ``q`` and their cluster's ``best``."""
-    tests = [F.col("flags").bitwiseAND(1 << k) != 0 for k in range(4)]
-    tests += [F.col("i") >= limits.max_per_cluster, (F.col("i") > 0) & _behind(F.col("q"), limits)]
-    return F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)]))
+def _large(clusters: DataFrame) -> DataFrame | None:
+    """Clusters of more than :data:`CLUSTER_ROWS` rows as ``of``, None if there are none. They are counted only in the parts that hold as many."""
+    part = F.pmod(F.hash("cluster"), F.lit(CLUSTER_PARTS))
+    full = clusters.groupBy(part.alias("part")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER_ROWS)
+    parts = [r["part"] for r in full.collect()]  # at most CLUSTER_PARTS rows
+    if not parts:
+        return None
+    large = clusters.where(part.isin(parts)).groupBy(F.col("cluster").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER_ROWS).select("of")
+    large = scratch.materialize(large, "large-clusters")
+    return None if large.isEmpty() else large
+
+
+def _reasons() -> Column:
+    """The reasons of a ``mask``, looked up: a row makes no array of its own."""
+    chosen = [F.array(*[F.lit(r) for k, r in enumerate(REASONS) if mask & (1 << k)]).cast("array<string>") for mask in range(1 << len(REASONS))]
+    return F.get(F.array(*chosen), F.col("mask"))
+
+
+def _mask(limits: CurationLimits) -> Column:
+    """A bit for each of :data:`REASONS`, of rows with their tests ``flags``, place ``i``, score ``q`` and their cluster's ``best``."""
+    return F.col("flags") + (F.col("i") >= limits.max_per_cluster).cast("int") * 16 + ((F.col("i") > 0) & _behind(F.col("q"), limits)).cast("int") * 32
 
 
 def _behind(q: Column, limits: CurationLimits) -> Column:
     return F.coalesce(q < F.col("best") * limits.secondary_ratio, F.lit(False))
 
 
-def _ranked(scored: DataFrame, order: list[Column | str], limits: CurationLimits) -> DataFrame:
-    """``row``, ``q``, ``reasons`` and ``kept``, the rows without a reason so far in the cluster."""
+def _ranked(scored: DataFrame, order: list[Column | str], limits: CurationLimits, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns, ``q``, ``mask`` and ``kept``, the rows without a reason so far in the cluster."""
     within = Window.partitionBy("cluster").orderBy(*order)
     so_far = within.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumns({"i": F.row_number().over(within) - 1, "best": F.first("q").over(so_far)}).withColumn("reasons", _reasons(limits))
-    return ranked.withColumn("kept", F.sum((F.size("reasons") == 0).cast("int")).over(so_far).cast("int")).select("row", "q", "reasons", "kept")
+    ranked = scored.withColumns({"i": F.row_number().over(within) - 1, "best": F.first("q").over(so_far)}).withColumn("mask", _mask(limits))
+    return ranked.withColumn("kept", F.sum((F.col("mask") == 0).cast("int")).over(so_far).cast("int")).select(*carried, "q", "mask", "kept")
 
 
-def _ranked_large(scored: DataFrame, order: list[Column | str], limits: CurationLimits) -> DataFrame:
-    """As :func:`_ranked`, no cluster in one task."""
+def _ranked_large(scored: DataFrame, order: list[Column | str], limits: CurationLimits, carried: list[str]) -> DataFrame:
+    """As :func:`_ranked`, no cluster in one task; of a written table, as ``at`` must stay."""
     first = scored.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)) - 1).where(F.col("i") < limits.max_per_cluster)
     heads = first.groupBy(F.col("cluster").alias("of")).agg(F.max_by("q", -F.col("i")).alias("best"), F.array_sort(F.collect_list(F.struct("i", "at", (F.col("flags") != 0).alias("fails"), "q"))).alias("heads"))
     heads = looked_up(scratch.materialize(heads, "heads"))  # a row a cluster
     ranked = scored.join(heads, F.col("cluster").eqNullSafe(F.col("of")))
     at = F.array_position(F.transform("heads", lambda h: h["at"]), F.col("at"))
-    ranked = ranked.withColumn("i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)).cast("int")).withColumn("reasons", _reasons(limits))
+    ranked = ranked.withColumn("i", F.when(at > 0, at - 1).otherwise(F.lit(limits.max_per_cluster)).cast("int")).withColumn("mask", _mask(limits))
     kept = F.size(F.filter("heads", lambda h: (h["i"] <= F.col("i")) & ~h["fails"] & ~((h["i"] > 0) & _behind(h["q"], limits))))
-    return ranked.select("row", "q", "reasons", kept.alias("kept"))
+    return ranked.select(*carried, "q", "mask", kept.alias("kept"))
 
 
 def reason_counts(df: DataFrame, reasons: str = "reject_reasons", none: str | None = None) -> DataFrame:
-    """Rows by reason; a row counts under each of its reasons, or under ``none`` if that is given."""
-    values = F.col(reasons) if none is None else F.when(F.size(reasons) == 0, F.array(F.lit(none))).otherwise(F.col(reasons))
-    return df.select(F.explode(values).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Rows by reason; a row counts under each of its reasons, or under ``none`` if that is given. Equal arrays are counted first, then taken apart."""
+    values = F.col("v") if none is None else F.when(F.size("v") == 0, F.array(F.lit(none))).otherwise(F.col("v"))
+    alike = df.groupBy(F.col(reasons).alias("v")).agg(F.count("*").alias("m"))
+    return alike.select(F.explode(values).alias("reason"), "m").groupBy("reason").agg(F.sum("m").alias("n"))
 
 
 def cluster_size_histogram(df: DataFrame, cluster: str, top: int = 10) -> DataFrame:

@@ -18,6 +18,8 @@ from grainmill import scratch
 _BEFORE = (Window.unboundedPreceding, -1)
 #: Rows that a table of a few columns may have to be sent to all tasks.
 BROADCAST_ROWS = 100_000
+#: Distinct values of a column whose shares are sent to all tasks, at about 100 bytes each.
+SHARE_ROWS = 1_000_000
 #: Buckets that one pass of :func:`element_at` counts.
 BUCKETS = 4096
 
@@ -97,7 +99,7 @@ def cume_dist(df: DataFrame, cols: dict[str, str], counts: DataFrame | None = No
     the values come back by an equality join. Null stays null. ``counts`` are the :func:`value_counts` of these columns, if they are there.
     """
     out, counts = df, value_counts(df, list(cols)) if counts is None else counts
-    few = {r["column"] for r in counts.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n") <= BROADCAST_ROWS).collect()}  # a row a column
+    few = {r["column"] for r in counts.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n") <= SHARE_ROWS).collect()}  # a row a column
     for k, (col, name) in enumerate(cols.items()):
         shares = counts.where(F.col("column") == k).select(F.col("value").alias("_value"), ((F.col("before") + F.col("n")) / F.col("total")).alias(name))
         out = out.join(F.broadcast(shares) if k in few else shares, F.col(col) == F.col("_value"), "left").drop("_value")

@@ -6,6 +6,7 @@ import json
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from grainmill import lexicons as L
 from grainmill import queries as core
@@ -136,6 +137,38 @@ def test_ordinary_clusters_are_shuffled_once(spark):
     assert told.count("Exchange hashpartitioning") == 1 and "Join" not in told
 
 
+def _written(monkeypatch):
+    seen, write = {}, quality.scratch.materialize
+    monkeypatch.setattr(quality.scratch, "materialize", lambda df, label: seen.setdefault(label, df.schema) and write(df, label))
+    return seen
+
+
+def test_scored_rows_are_written_without_copies_of_columns(spark, monkeypatch):
+    seen = _written(monkeypatch)
+    _curated(spark)
+    fields = [g for f in seen["scored"] for g in (f.dataType if isinstance(f.dataType, StructType) else [f])]
+    assert len(fields) == 7  # six columns and the score
+
+
+def test_clusters_are_counted_only_where_a_part_is_large(spark, monkeypatch):
+    seen = _written(monkeypatch)
+    few = sorted(map(repr, _curated(spark).collect()))
+    assert "large-clusters" not in seen
+    monkeypatch.setattr(quality, "CLUSTER_PARTS", 1)
+    for rows in (30, 100):  # with and without a large cluster in the large part
+        monkeypatch.setattr(quality, "CLUSTER_ROWS", rows)
+        assert sorted(map(repr, _curated(spark).collect())) == few
+    assert "large-clusters" in seen
+
+
+def test_sets_of_reasons_are_counted_before_they_are_taken_apart(spark):
+    told = plan(core.QUERIES["reject_reason_counts"](spark, DATA))
+    assert told.count("Aggregate") == 2 and "lambdafunction" not in told
+    rows = spark.createDataFrame([(["a", "b"],), (["b"],), (["b"],), ([],), (None,)], "reject_reasons array<string>")
+    assert sorted(map(tuple, quality.reason_counts(rows).collect())) == [("a", 1), ("b", 3)]
+    assert sorted(map(tuple, quality.reason_counts(rows, none="-").collect())) == [("-", 1), ("a", 1), ("b", 3)]
+
+
 def test_array_is_written_without_scratch_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(arrays.scratch, "materialize", None)
     df = spark.createDataFrame([(None, "b"), (None, "b"), (2, "]"), (1, None), (2, "z"), (2, "z")], "k int, t string").repartition(3)
