@@ -96,7 +96,8 @@ def cluster_rank_clean(spark, sf):
 )
 def gate_label_from_reasons(spark, sf):
     hard = _curated(spark, sf).where("quality_bucket = 'hard_case'")
-    return hard.select(gates.from_reasons(F.col("reject_reasons")).alias("gate_decision")).groupBy("gate_decision").agg(F.count("*").alias("n"))
+    alike = hard.groupBy("reject_reasons").agg(F.count("*").alias("m"))  # few sets of reasons, many rows
+    return alike.select(gates.from_reasons(F.col("reject_reasons")).alias("gate_decision"), "m").groupBy("gate_decision").agg(F.sum("m").alias("n"))
 
 
 @query(

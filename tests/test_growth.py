@@ -169,6 +169,10 @@ def test_sets_of_reasons_are_counted_before_they_are_taken_apart(spark):
     assert sorted(map(tuple, quality.reason_counts(rows, none="-").collect())) == [("-", 1), ("a", 1), ("b", 3)]
 
 
+def test_sets_of_reasons_are_counted_before_they_are_judged(spark):
+    assert plan(core.QUERIES["gate_label_from_reasons"](spark, DATA)).count("Aggregate") == 2
+
+
 def test_array_is_written_without_scratch_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(arrays.scratch, "materialize", None)
     df = spark.createDataFrame([(None, "b"), (None, "b"), (2, "]"), (1, None), (2, "z"), (2, "z")], "k int, t string").repartition(3)
